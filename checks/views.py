@@ -91,12 +91,15 @@ SELECT stream_id, pos,
   CASE WHEN stream_id % 9 = 0 THEN 'sha1' ELSE 'sha256' END AS sig_hash,
   1700000000 - 86400 * 30 + CASE WHEN stream_id % 11 = 0 THEN 86400 * 40 ELSE 0 END AS valid_from_epoch,
   1700000000 + 86400 * (stream_id % 120 - 20) AS valid_until_epoch
-FROM (SELECT DISTINCT user_id * 1000 + CAST(FLOOR(rn / 7) AS INT) AS stream_id
-      FROM (SELECT user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM {events}) e) s
-CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 AS pos) p
+FROM {certs}
 WHERE pos = 0 OR stream_id % 5 = 0 OR stream_id % 5 = 2
 """
 
+STREAMS_SQL = """
+SELECT DISTINCT user_id * 1000 + CAST(FLOOR(rn / 7) AS INT) AS stream_id
+FROM (SELECT user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM {events}) e
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -107,7 +110,8 @@ def packets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def certificates_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CERTIFICATES_SQL, events=table(spark, sf_dir, "events"))
+    streams = spark.sql(STREAMS_SQL, events=table(spark, sf_dir, "events"))
+    return spark.sql(CERTIFICATES_SQL, certs=streams.select("stream_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")))
 
 
 def certificate_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:

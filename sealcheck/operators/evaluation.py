@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sealcheck.operators.ranks import place_in_group
 from sealcheck.tables import (
-    CLEARTEXT_FORBIDDEN, CLEARTEXT_MODES, IMPLICIT_FORBIDDEN, IMPLICIT_MODE, PROFILES, REJECTED_MODES, SWEEP_PORTS,
+    CLEARTEXT_FORBIDDEN, CLEARTEXT_MODES, IMPLICIT_FORBIDDEN, IMPLICIT_MODE, PROFILES, REJECTED_MODES, RULES, SWEEP_PORTS,
     UPGRADE_FORBIDDEN, UPGRADE_MODES,
 )
 
 CHECKS = ("matched", "findings", "forbidden", "facts", "class")
+RUN = 1_000_000
 PAIR = ["capture", "protocol", "server_port", "client_port"]
 
 
@@ -74,14 +76,15 @@ def coverage_matrix(spark: SparkSession, observed: DataFrame) -> DataFrame:
 def match_expected(expected: DataFrame, sessions: DataFrame) -> DataFrame:
     """Pair the k-th expected session with the k-th actual one of the same addresses.
 
-    The ranks run per (capture, protocol, server port, client port), i.e. over the rounds of
-    one declared session.
+    The k-th place is counted in runs of rounds and frames, so one address pair may hold any
+    share of the sessions.
     """
     rounds = expected.withColumn("round", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("rounds", F.lit(1)), F.lit(1)))))
-    e_order = W.partitionBy(*PAIR).orderBy(*[c for c in ("mode", "profile") if c in expected.columns], "round")
-    s_order = W.partitionBy(*PAIR).orderBy(F.coalesce("first_frame", F.lit(0)), "session_id")
-    left = rounds.withColumn("pair_no", F.row_number().over(e_order))
-    right = sessions.withColumn("pair_no", F.row_number().over(s_order)).select(
+    declared_order = [c for c in ("mode", "profile") if c in expected.columns]
+    left = place_in_group(rounds, PAIR, ["round", *declared_order], F.floor(F.col("round") / RUN), "pair_no")
+    frame = F.coalesce("first_frame", F.lit(0))
+    placed = place_in_group(sessions, PAIR, [frame, "session_id"], F.floor(frame / RUN), "pair_no")
+    right = placed.select(
         *[F.col(c).alias(f"a_{c}") for c in PAIR], F.col("pair_no").alias("a_pair_no"),
         F.struct(*[c for c in sessions.columns if c not in ("capture",)]).alias("actual"))
     same = (F.col("capture") == F.col("a_capture")) & (F.col("pair_no") == F.col("a_pair_no"))
@@ -198,26 +201,25 @@ def failed_expectations(scored: DataFrame) -> DataFrame:
         F.array_join(failed, ", ").alias("failed"), detail.alias("detail"))
 
 
-def _codes_per_capture(sessions: DataFrame) -> DataFrame:
-    """Distinct finding codes per capture: at most one per rule."""
-    codes = sessions.select("capture", F.explode("findings.code").alias("code")).distinct()
-    return codes.groupBy("capture").agg(F.array_sort(F.collect_list("code")).alias("observed"))
-
-
-def _worst_session(sessions: DataFrame) -> DataFrame:
+def _capture_outcome(sessions: DataFrame) -> DataFrame:
+    """Worst session, agreement and observed codes per capture in one aggregate."""
     place = F.struct(F.col("policy_risk_score").alias("score"), (-F.coalesce("first_frame", F.lit(0))).alias("earlier"), "session_id")
-    novel = F.count_if("novel") if "novel" in sessions.columns else F.lit(0).cast("bigint")
-    return sessions.groupBy("capture").agg(
+    novel = F.count_if("novel") if "novel" in sessions.columns else F.max(F.lit(0).cast("bigint"))
+    codes = sorted(rule[0] for rule in RULES)
+    seen = [F.bool_or(F.array_contains("findings.code", c)).alias(f"saw_{c}") for c in codes]
+    rows = sessions.groupBy("capture").agg(
         F.count(F.lit(1)).alias("sessions"), F.max_by("policy_risk_class", place).alias("rules_class"),
         F.max_by("posture_score", place).alias("posture"), F.max_by("ml_class", place).alias("ml_class"),
-        F.count_if(F.col("ml_class") == F.col("policy_risk_class")).alias("agree"), novel.alias("novel_sessions"))
+        F.count_if(F.col("ml_class") == F.col("policy_risk_class")).alias("agree"), novel.alias("novel_sessions"), *seen)
+    observed = F.array_compact(F.array(*[F.when(F.col(f"saw_{c}"), F.lit(c)) for c in codes]))
+    return rows.select("*", observed.alias("observed")).drop(*[f"saw_{c}" for c in codes])
 
 
 def scenario_outcome(captures: DataFrame, scenarios: DataFrame, sessions: DataFrame) -> DataFrame:
     """Captures with their scenario, observed codes, missing and forbidden ones."""
     nothing = F.array().cast("array<string>")
     return (captures.join(F.broadcast(scenarios), "scenario", "left")      # scenarios: a hand-written list
-            .join(_worst_session(sessions), "capture", "left").join(_codes_per_capture(sessions), "capture", "left")
+            .join(_capture_outcome(sessions), "capture", "left")
             .withColumns({"observed": F.coalesce("observed", nothing), "sessions": F.coalesce("sessions", F.lit(0))})
             .withColumns({
                 "missing": F.array_sort(F.array_except(F.coalesce("expect_findings", nothing), "observed")),

@@ -62,3 +62,22 @@ def lowest_share(rows: DataFrame, group: str, digest: str, share: float) -> Data
              .select(group, F.col(digest).alias("last_digest")))
     return (rows.join(F.broadcast(limit), group, "left")
             .withColumn("chosen", F.coalesce(F.col(digest) <= F.col("last_digest"), F.lit(False))).drop("last_digest"))
+
+
+def place_in_group(rows: DataFrame, keys: list[str], order: list, coarse, name: str) -> DataFrame:
+    """Exact row_number per group without ordering a whole group in one task.
+
+    ``coarse`` is a whole-number column that never decreases along ``order``; runs of equal
+    ``coarse`` are ranked on their own and shifted by the sizes of earlier runs. Keys may be NULL.
+    """
+    rows = rows.withColumn("coarse", coarse)
+    run_keys = [*keys, "coarse"]
+    sizes = rows.groupBy(run_keys).agg(F.count(F.lit(1)).alias("size"))
+    before = W.partitionBy(keys).orderBy("coarse").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(k).alias(f"o_{k}") for k in run_keys], F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    same = F.lit(True)
+    for key in run_keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"o_{key}"))
+    inside = F.row_number().over(W.partitionBy(run_keys).orderBy(*order))
+    return (rows.join(offsets, same).withColumn(name, F.col("offset") + inside)
+            .drop("coarse", "offset", *[f"o_{k}" for k in run_keys]))

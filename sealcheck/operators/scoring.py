@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sealcheck.operators.rules import finding_rows
-from sealcheck.tables import BASELINE_ADVICE, CRITICAL_SCORE_FLOOR, RISK_BANDS, SEVERITIES
+from sealcheck.session import materialise
+from sealcheck.tables import BASELINE_ADVICE, CRITICAL_SCORE_FLOOR, RISK_BANDS, SEVERITIES, TLS_VERSIONS
+
+PROTOCOL_NAMES = ("IMAP", "POP3", "SMTP", "UNKNOWN")
 
 # ------------------------------------------------------------------ one session
 
@@ -86,64 +89,82 @@ def top_findings(assessed: DataFrame, limit: int = 5) -> DataFrame:
 
 def recommendations(assessed: DataFrame) -> DataFrame:
     """Distinct advice per capture by first appearance, baseline advice at the end."""
-    rows = finding_rows(assessed).select(
-        "capture", F.col("recommendation").alias("advice"),
-        F.struct(F.lit(0).alias("part"), F.coalesce("first_frame", F.lit(0)).alias("frame"),
-                 F.col("session_id").alias("sid"), F.col("emitted").alias("emitted")).alias("place"))
-    base = F.array(*[F.struct(F.lit(i).alias("emitted"), F.lit(t).alias("advice")) for i, t in enumerate(BASELINE_ADVICE)])
-    always = (assessed.select("capture").distinct().select("capture", F.explode(base).alias("b"))
-              .select("capture", "b.advice", F.struct(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("frame"),
-                                                      F.lit("").alias("sid"), F.col("b.emitted").alias("emitted")).alias("place")))
-    first = rows.unionByName(always).groupBy("capture", "advice").agg(F.min("place").alias("place"))
+    def told(part: int, emitted: Column, advice: Column) -> Column:
+        return F.struct(advice.alias("advice"), F.struct(F.lit(part).alias("part"), emitted.alias("emitted")).alias("at"))
+
+    own = F.transform("findings", lambda f, i: told(0, i, f["recommendation"]))
+    base = F.array(*[told(1, F.lit(i), F.lit(t)) for i, t in enumerate(BASELINE_ADVICE)])
+    rows = assessed.select("capture", "first_frame", "session_id", F.explode(F.concat(own, base)).alias("t")).select(
+        "capture", F.col("t.advice").alias("advice"),
+        F.struct("t.at.part", F.coalesce("first_frame", F.lit(0)).alias("frame"), F.col("session_id").alias("sid"),
+                 F.col("t.at.emitted").alias("emitted")).alias("place"))
+    first = rows.groupBy("capture", "advice").agg(F.min("place").alias("place"))
     order = F.row_number().over(W.partitionBy("capture").orderBy("place"))   # <= 28 texts per capture
     return first.select("capture", order.alias("position"), "advice")
 
 
 # ------------------------------------------------------------------ captures
-def _counter(df: DataFrame, column: str, name: str) -> DataFrame:
-    """MAP value -> count per capture; counted before it is gathered."""
-    counts = (df.filter(F.col(column).isNotNull()).groupBy("capture", column).agg(F.count(F.lit(1)).alias("n")))
-    return counts.groupBy("capture").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(name))
-
-
 def _occurrences(values: Column, wanted: str) -> Column:
     return F.size(F.filter(values, lambda v: v == wanted))
 
 
-def capture_totals(scored: DataFrame) -> DataFrame:
-    """Per-capture totals in one aggregate."""
-    known = F.col("protocol") != "UNKNOWN"
-    risk = F.bround(F.avg("policy_risk_score"), 0).cast("int")
-    severities = F.col("findings.severity")
-    anomalous = F.count_if("ml_anomalous") if "ml_anomalous" in scored.columns else F.lit(0).cast("bigint")
-    worst = F.max(severity_order(F.col("policy_risk_class")))
-    return scored.groupBy("capture").agg(
-        F.count(F.lit(1)).alias("total_sessions"),
-        F.count_if("tls_detected").alias("tls_sessions"),
-        F.count_if(~F.col("tls_detected") & known).alias("plaintext_sessions"),
-        F.count_if(F.col("starttls_command") | F.col("starttls_advertised")).alias("starttls_sessions"),
-        F.count_if("upgrade_successful").alias("successful_upgrades"),
-        anomalous.alias("anomalous_sessions"),
-        F.sum(F.size("findings")).alias("total_findings"),
-        *[F.sum(_occurrences(severities, level)).alias(f"severity_{level.lower()}") for level in SEVERITIES],
-        risk.alias("overall_risk_score"),
-        (F.lit(100) - risk).alias("overall_posture_score"),
-        F.element_at(F.array(*map(F.lit, SEVERITIES)), F.greatest(worst, F.lit(1)) + 1).alias("overall_risk_class"),
-        F.bround(F.avg("evidence_completeness"), 2).alias("evidence_completeness"),
-    )
+def _additive(scored: DataFrame) -> dict[str, Column]:
+    """Measures of a set of sessions that add up over its parts."""
+    severities, known = F.col("findings.severity"), F.col("protocol") != "UNKNOWN"
+    given = set(scored.columns)
+    none = F.lit(0).cast("bigint")
+    measures = {
+        "total_sessions": F.count(F.lit(1)),
+        "tls_sessions": F.count_if("tls_detected"),
+        "plaintext_sessions": F.count_if(~F.col("tls_detected") & known),
+        "starttls_sessions": F.count_if(F.col("starttls_command") | F.col("starttls_advertised")),
+        "successful_upgrades": F.count_if("upgrade_successful"),
+        "anomalous_sessions": F.count_if("ml_anomalous") if "ml_anomalous" in given else F.max(none),
+        "total_findings": F.sum(F.size("findings")),
+        "ml_matches_rules": F.count_if(F.col("ml_class") == F.col("policy_risk_class")) if "ml_class" in given else F.max(none),
+        "risk_sum": F.sum("policy_risk_score"),
+        "completeness_sum": F.sum(F.bround(F.col("evidence_completeness") * 100, 0).cast("bigint")),
+    }
+    for level in SEVERITIES:
+        measures[f"severity_{level.lower()}"] = F.sum(_occurrences(severities, level))
+    for protocol in PROTOCOL_NAMES:
+        measures[f"p_{protocol}"] = F.count_if(F.col("protocol") == protocol)
+    for version in TLS_VERSIONS:
+        measures[f"v_{version}"] = F.count_if(F.col("tls_version") == version)
+    return measures
+
+
+def _count_map(prefix: str, names) -> Column:
+    """MAP of the non-zero counters, sorted by name."""
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"`{prefix}{n}`").alias("value")) for n in sorted(names)])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
 
 
 def capture_summary(scored: DataFrame) -> DataFrame:
-    """One row per capture with counters and maps."""
-    summary = capture_totals(scored)
-    for column, name in (("protocol", "protocols"), ("tls_version", "tls_versions"), ("cipher_suite", "ciphers")):
-        summary = summary.join(_counter(scored, column, name), "capture", "left") \
-                         .withColumn(name, F.coalesce(name, F.create_map().cast("map<string,bigint>")))
+    """One row per capture with counters and maps, in one pass over the sessions.
+
+    Sessions are first reduced per (capture, cipher), which also gives the cipher map, so a
+    capture with any share of the sessions is combined in the tasks that hold them.
+    """
+    measures = _additive(scored)
+    worst = F.max(severity_order(F.col("policy_risk_class")))
+    parts = scored.groupBy("capture", "cipher_suite").agg(
+        *[c.alias(n) for n, c in measures.items()], worst.alias("worst"))
+    suites = F.collect_list(F.when(F.col("cipher_suite").isNotNull(),
+                                   F.struct(F.col("cipher_suite").alias("key"), F.col("total_sessions").alias("value"))))
+    totals = parts.groupBy("capture").agg(
+        *[F.sum(F.col(f"`{n}`")).alias(n) for n in measures], F.max("worst").alias("worst"), suites.alias("suites"))
+    mean = F.bround(F.col("risk_sum") / F.col("total_sessions"), 0).cast("int")
     levels = []
     for level in SEVERITIES:
         levels += [F.lit(level), F.col(f"severity_{level.lower()}")]
-    return summary.withColumn("findings_by_severity", F.create_map(*levels))
+    shown = [n for n in measures if not n.startswith(("p_", "v_")) and not n.endswith("_sum") and n != "ml_matches_rules"]
+    return totals.select(
+        "capture", *shown, mean.alias("overall_risk_score"), (F.lit(100) - mean).alias("overall_posture_score"),
+        F.element_at(F.array(*map(F.lit, SEVERITIES)), F.greatest("worst", F.lit(1)) + 1).alias("overall_risk_class"),
+        F.bround(F.col("completeness_sum") / 100 / F.col("total_sessions"), 2).alias("evidence_completeness"),
+        "ml_matches_rules", _count_map("p_", PROTOCOL_NAMES).alias("protocols"), _count_map("v_", TLS_VERSIONS).alias("tls_versions"),
+        F.map_from_entries(F.array_sort("suites")).alias("ciphers"), F.create_map(*levels).alias("findings_by_severity"))
 
 
 def ml_rule_agreement(scored: DataFrame) -> DataFrame:
@@ -153,13 +174,18 @@ def ml_rule_agreement(scored: DataFrame) -> DataFrame:
 
 
 def batch_record(scored: DataFrame) -> DataFrame:
-    """Summary, agreement and top findings flattened to one row per capture."""
-    top = top_findings(scored).groupBy("capture").agg(F.transform(      # five rows at most
+    """Summary, agreement and top findings flattened to one row per capture.
+
+    Two passes read the sessions, so the few columns they need are written once.
+    """
+    needed = ["capture", "session_id", "first_frame", "protocol", "tls_detected", "starttls_command", "starttls_advertised",
+              "upgrade_successful", "tls_version", "cipher_suite", "policy_risk_score", "policy_risk_class",
+              "evidence_completeness", "findings", "ml_class", "ml_anomalous"]
+    table = materialise(scored.select(*[c for c in needed if c in scored.columns]))
+    top = top_findings(table).groupBy("capture").agg(F.transform(      # five rows at most
         F.array_sort(F.collect_list(F.struct("rank", "code", "severity", "title"))),
         lambda t: F.struct(t["code"], t["severity"], t["title"])).alias("top_findings"))
-    return (capture_summary(scored)
-            .join(ml_rule_agreement(scored).drop("sessions"), "capture", "left")
-            .join(top, "capture", "left"))
+    return capture_summary(table).join(top, "capture", "left")
 
 
 def feature_table_stats(table: DataFrame, top: int = 15) -> DataFrame:
@@ -168,6 +194,7 @@ def feature_table_stats(table: DataFrame, top: int = 15) -> DataFrame:
         return source.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")) \
                      .select(F.lit(kind).alias("kind"), "name", "n")
 
+    table = materialise(table.select("capture", "risk_label", "ml_label", "finding_codes"))
     totals = table.agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("capture").alias("captures"),
         F.count_if(F.col("risk_label") == F.col("ml_label")).alias("agreed"),

@@ -82,10 +82,14 @@ def packet_events(packets: DataFrame, discovered: DataFrame | None = None) -> Da
 
 
 # ----------------------------------------------------------------- long streams
-def long_streams(events: DataFrame, split_above: int) -> DataFrame:
-    """Streams to be cut. At most packets / split_above rows, hence small by construction."""
-    return (events.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > split_above).select(KEY))
+def long_streams(packets: DataFrame, split_above: int) -> DataFrame | None:
+    """Streams to be cut, None without any. At most packets / split_above rows, hence small.
+
+    The check counts two columns per stream; packets without a stream are streams of their own.
+    """
+    found = (packets.filter(F.col("stream_id").isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+             .filter(F.col("n") > split_above).select(KEY))
+    return materialise(found) if found.limit(1).count() else None
 
 
 def _origin() -> Column:
@@ -153,14 +157,11 @@ def indexed_runs(events: DataFrame, cut: DataFrame, run_packets: int) -> DataFra
 
 
 # ------------------------------------------------------------------- the windows
-def ordered_rows(events: DataFrame, split_above: int | None = SPLIT_ABOVE,
-                 run_packets: int = RUN_PACKETS) -> DataFrame:
-    """Events with packet_index, direction, gap to the previous packet and upgrade answers."""
-    cut = None
-    if split_above is not None:
-        cut = materialise(long_streams(events, split_above))
-        if cut.isEmpty():
-            cut = None
+def ordered_rows(events: DataFrame, cut: DataFrame | None = None, run_packets: int = RUN_PACKETS) -> DataFrame:
+    """Events with packet_index, direction, gap to the previous packet and upgrade answers.
+
+    ``cut`` names the streams to be folded in runs, see ``long_streams``.
+    """
     if cut is None:
         return _position_facts(_indexed_whole(events), KEY)
     whole = _indexed_whole(events.join(F.broadcast(cut), KEY, "left_anti"))
@@ -391,9 +392,12 @@ def finish_sessions(facts: DataFrame) -> DataFrame:
 
 def sessionise(packets: DataFrame, discovered: DataFrame | None = None,
                split_above: int | None = SPLIT_ABOVE, run_packets: int = RUN_PACKETS) -> DataFrame:
-    """Packets (schemas.PACKET_SCHEMA) to one flat session row per stream."""
-    events = packet_events(packets, discovered)
-    return finish_sessions(stream_facts(ordered_rows(events, split_above, run_packets)))
+    """Packets (schemas.PACKET_SCHEMA) to one flat session row per stream.
+
+    ``split_above=None`` skips the look for long streams where they are known not to occur.
+    """
+    cut = None if split_above is None else long_streams(packets, split_above)
+    return finish_sessions(stream_facts(ordered_rows(packet_events(packets, discovered), cut, run_packets)))
 
 
 # ------------------------------------------------------------------ nested record

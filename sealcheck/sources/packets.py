@@ -100,5 +100,5 @@ def read_packet_columns(spark: SparkSession, path: str, columns: list[str], mult
 
 def split_multi(rows: DataFrame, multi) -> DataFrame:
     for column in multi:
-        rows = rows.withColumn(column, F.filter(F.transform(F.split(column, ","), F.trim), lambda v: v != ""))
+        rows = rows.withColumn(column, F.filter(F.transform(F.split(column, ","), lambda v: F.trim(v)), lambda v: v != ""))
     return rows
