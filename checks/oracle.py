@@ -351,14 +351,15 @@ named AS (SELECT hint.capture, hint.port, hint.protocol FROM hint JOIN greet USI
 found AS (SELECT * FROM named UNION ALL SELECT capture, port, protocol FROM hint WHERE capture NOT IN (SELECT capture FROM named)
     AND capture NOT IN (SELECT capture FROM greet WHERE port IN {STANDARD}))"""
 TO_FOUND = f"{TO_PACKETS}, {CANDIDATES}"
+PAIRED = PACKETS.replace("SELECT *,", "SELECT * REPLACE ('s' || (stream_id // 2) AS capture),", 1)
 SQL["D1_payload_prefilter"] = f"{TO_FOUND} SELECT capture, frame AS packet_no, src_port, mail_text AS text FROM cand"
 SQL["D2_vocabulary_scores"] = "WITH low AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, " + ", ".join(f"CAST({vocabulary('t', p)} AS INT) AS {p.lower()}" for p in MAIL_VOCABULARY) + " FROM low"
 SQL["D3_port_votes"] = f"{TO_FOUND} SELECT * FROM votes"
 SQL["D4_first_greeting"] = f"{TO_FOUND} SELECT * FROM greet"
 SQL["D5_port_hints"] = f"{TO_FOUND} SELECT * FROM hint"
-SQL["D6_discovered_ports"] = f"{TO_FOUND} SELECT * FROM found"
+SQL["D6_discovered_ports"] = f"WITH {PAIRED}, {CANDIDATES} SELECT * FROM found"
 # Second pass: streams on a found port, the server side known by it.
-SQL["D7_merge_passes"] = f"""{TO_SESSIONS}, {CANDIDATES},
+SQL["D7_merge_passes"] = f"""WITH {PAIRED}, {CERTS}, {SUITES}, {SESSIONS}, {CANDIDATES},
 std AS (SELECT capture, session_id, protocol, server_port, client_port, packet_count, plaintext_auth, starttls_rejected, upgrade_successful FROM st WHERE server_port IN {STANDARD}),
 ext AS (SELECT p.capture, p.stream_id, p.idx, f.protocol, f.port, CASE WHEN p.src_port = f.port THEN p.dst_port ELSE p.src_port END AS client_port, p.dst_port = f.port AS from_client,
     p.is_tls, CASE WHEN NOT p.is_tls THEN p.mail_text END AS said FROM packets p JOIN found f ON f.capture = p.capture AND f.port IN (p.src_port, p.dst_port)),

@@ -296,23 +296,22 @@ def _(spark, sf):
     return discovery.port_hints(candidates(spark, sf))
 
 
-@query("D6_discovered_ports")
-def _(spark, sf):
-    return discovery.discovered_ports(typed(spark, sf, False))
+@planned
+def pairs(spark, sf):
+    """Two neighbouring streams make a capture, so unusual ports also occur without standard ones."""
+    return typed(spark, sf, False).withColumn("capture", F.concat(F.lit("s"), F.expr("CAST(stream_id AS BIGINT) DIV 2")))
 
 
-def two_passes(spark, sf):
-    raw = typed(spark, sf, False)
-    found = discovery.discovered_ports(raw)
-    first = sessions.sessionise(discovery.mail_scope(raw))
-    extra = sessions.sessionise(discovery.dissect_discovered(raw, found), found)
-    return discovery.merge_passes(first, extra)
+@query("D6_discovered_ports")
+def _(spark, sf):
+    return discovery.discovered_ports(pairs(spark, sf))
 
 
 @query("D7_merge_passes")
 def _(spark, sf):
-    return two_passes(spark, sf).select("capture", "session_id", "protocol", "server_port", "client_port", "packet_count",
-                                        "plaintext_auth", "starttls_rejected", "upgrade_successful")
+    return posture.two_pass_sessions(pairs(spark, sf)).select(
+        "capture", "session_id", "protocol", "server_port", "client_port", "packet_count",
+        "plaintext_auth", "starttls_rejected", "upgrade_successful")
 
 
 @planned

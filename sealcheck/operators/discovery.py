@@ -30,10 +30,10 @@ def mail_scope(packets: DataFrame, extra: DataFrame | None = None, exclude_ports
 
 
 def payload_prefilter(packets: DataFrame) -> DataFrame:
-    """Packets whose payload holds a mail word, with the decoded text."""
-    return (packets.filter(F.col("payload_hex").isNotNull() & (F.col("payload_hex") != "") & F.col("src_port").isNotNull())
-            .select("capture", "packet_no", "src_port", "dst_port", mt.payload_text(F.col("payload_hex")).alias("text"))
-            .filter(mt.has_mail_words(F.col("text"))))
+    """Packets whose payload holds a mail word, with the decoded text (decoded once)."""
+    decoded = F.filter(F.array(mt.payload_text(F.col("payload_hex"))), mt.has_mail_words)
+    return (packets.filter(F.col("src_port").isNotNull())
+            .select("capture", "packet_no", "src_port", "dst_port", F.explode(decoded).alias("text")))
 
 
 def port_scores(candidates: DataFrame) -> DataFrame:
@@ -42,8 +42,9 @@ def port_scores(candidates: DataFrame) -> DataFrame:
     Scores are computed per packet and summed in the tasks, so no payload is shuffled.
     """
     scored = candidates.select(
-        "capture", F.explode(F.array("src_port", F.coalesce("dst_port", "src_port"))).alias("port"),
-        mt.vocabulary_scores(F.col("text")).alias("scores"))
+        "capture", mt.vocabulary_scores(F.col("text")).alias("scores"),
+        F.array("src_port", F.coalesce("dst_port", "src_port")).alias("ports"),
+    ).select("capture", "scores", F.explode("ports").alias("port"))
     return scored.groupBy("capture", "port").agg(
         *[F.sum(F.col("scores")[i]["score"]).alias(p) for i, p in enumerate(MAIL_VOCABULARY)])
 
@@ -91,7 +92,7 @@ def discovered_ports(packets: DataFrame) -> DataFrame:
 
 def dissect_discovered(packets: DataFrame, discovered: DataFrame) -> DataFrame:
     """Packets of the second pass: discovered ports only, their payload read as dialogue."""
-    named = small_side(discovered)
+    named = discovered
     on_src = named.select("capture", F.col("port").alias("src_port"), F.col("protocol").alias("src_named"))
     on_dst = named.select("capture", F.col("port").alias("dst_port"), F.col("protocol").alias("dst_named"))
     joined = (mail_scope(packets.withColumn("has_mail_layer", F.lit(True)), exclude_ports=KNOWN)
@@ -107,13 +108,10 @@ def dissect_discovered(packets: DataFrame, discovered: DataFrame) -> DataFrame:
 
 def merge_passes(first: DataFrame, extra: DataFrame) -> DataFrame:
     """Sessions of the first pass plus those only the second one found."""
-    keys = ["capture", "session_id", "server_port", "client_port"]
-    seen = first.select(*[F.col(k).alias(f"seen_{k}") for k in keys])
-    same = F.col("capture") == F.col("seen_capture")
-    for key in keys[1:]:
-        same = same & F.col(key).eqNullSafe(F.col(f"seen_{key}"))
-    fresh = extra.join(seen, same, "left_anti")
-    return first.unionByName(fresh).orderBy("capture", F.coalesce("first_frame", F.lit(0)), "session_id")
+    same = W.partitionBy("capture", "session_id", "server_port", "client_port")     # a session, seen once or twice
+    both = first.withColumn("pass_no", F.lit(1)).unionByName(extra.withColumn("pass_no", F.lit(2)))
+    kept = both.withColumn("earliest", F.min("pass_no").over(same)).filter(F.col("pass_no") == F.col("earliest"))
+    return kept.drop("pass_no", "earliest").orderBy("capture", F.coalesce("first_frame", F.lit(0)), "session_id")
 
 
 def unclassified_tls(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:

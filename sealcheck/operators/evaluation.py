@@ -137,7 +137,7 @@ def score_expectations(expected: DataFrame, sessions: DataFrame) -> DataFrame:
         passed(F.col("version_ok") & F.col("cert_ok") & F.col("secrecy_ok")).alias("ok_facts"),
         passed(F.col("class_ok")).alias("ok_class"),
         F.when(found, F.col("actual.ml_class") == F.col("actual.policy_risk_class")).alias("ml_agrees"),
-        ~F.coalesce("seen_in_training", F.lit(False)).alias("unseen"))
+        (~F.coalesce("seen_in_training", F.lit(False))).alias("unseen"))
 
 
 # ------------------------------------------------------------------ reports

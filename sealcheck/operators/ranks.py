@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from sealcheck.session import materialise
+
 SPLITS = 512
 PREFIX_HEX = 4          # 65,536 digest buckets
 
@@ -15,7 +17,7 @@ def exact_percentiles(values: DataFrame, group: str, value: str, probabilities:
     group into ranges, counts per range locate the wanted ranks, and only the ranges that
     hold one are ordered. The group column must have few values (here: features).
     """
-    counts = values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")))
     steps = [i / SPLITS for i in range(1, SPLITS)]
     cuts = counts.groupBy(group).agg(F.percentile_approx(value, steps, 10_000).alias("cuts"))
     ranged = counts.join(F.broadcast(cuts), group).withColumn(       # one row per group
@@ -46,8 +48,10 @@ def lowest_share(rows: DataFrame, group: str, digest: str, share: float) -> Data
     """Add ``chosen``: the ceil(share * n) rows of each group with the lowest hex digest.
 
     Counts per digest prefix find the prefix where the cut falls; only rows with that prefix
-    are ranked to find the exact digest of the cut.
+    are ranked to find the exact digest of the cut. The rows are read three times, so they are
+    written once.
     """
+    rows = materialise(rows)
     prefix = F.substring(digest, 1, PREFIX_HEX)
     sized = rows.groupBy(group, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("size"))
     so_far = W.partitionBy(group).orderBy("prefix").rowsBetween(W.unboundedPreceding, -1)

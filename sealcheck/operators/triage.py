@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from sealcheck.operators.features import feature_columns, with_vector
 from sealcheck.operators.ranks import exact_percentiles, lowest_share
 from sealcheck.operators.scoring import risk_band
+from sealcheck.session import materialise
 from sealcheck.tables import (
     CAPTURE_SUFFIXES, FEATURES, MODEL_VERSION, RISK_BANDS, TRAINING_CAP, TRAINING_FOLDERS, TRAINING_REPEAT,
 )
@@ -88,7 +89,8 @@ def _class_index(label: Column) -> Column:
 
 def fit_risk(rows: DataFrame, label: str = "label", trees: int = 220, depth: int = 12, seed: int = 42):
     """Balanced random forest over the feature vector."""
-    data = class_weights(with_vector(rows), label).select("vector", "weight", _class_index(F.col(label)).alias("target"))
+    vectors = materialise(with_vector(rows).select("vector", label))      # the forest reads its input many times
+    data = class_weights(vectors, label).select("vector", "weight", _class_index(F.col(label)).alias("target"))
     forest = RandomForestClassifier(featuresCol="vector", labelCol="target", weightCol="weight", numTrees=trees,
                                     maxDepth=depth, minInstancesPerNode=2, seed=seed)
     return forest.fit(data)
@@ -149,6 +151,7 @@ def leave_one_capture_out(rows: DataFrame, label: str = "label", trees: int = 12
     One model per capture is what the estimate means; the folds are independent Spark jobs,
     a few at a time. Training captures are a curated list, so only their names reach the driver.
     """
+    rows = materialise(rows)
     names = sorted(r[0] for r in rows.select("capture").distinct().collect())
 
     def fold(name: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sealcheck.functions import fields as fx, tls
-from sealcheck.operators import certificates, features, rules, scoring, sessions
+from sealcheck.operators import certificates, discovery, features, rules, scoring, sessions
+from sealcheck.session import small_side
 
 
 def type_packets(raw: DataFrame) -> DataFrame:
@@ -48,3 +49,11 @@ def complete_sessions(packets: DataFrame, certs: DataFrame | None = None, as_of_
 def scored_sessions(packets: DataFrame, certs: DataFrame | None = None, as_of_epoch: int = 0, **options) -> DataFrame:
     """Sessions with findings, score, class and completeness."""
     return scoring.score_sessions(rules.assess_sessions(complete_sessions(packets, certs, as_of_epoch, **options)))
+
+
+def two_pass_sessions(packets: DataFrame, **split) -> DataFrame:
+    """Sessions on standard ports and on ports whose dialogue gave the protocol away."""
+    found = small_side(discovery.discovered_ports(packets))
+    first = sessions.sessionise(discovery.mail_scope(packets), **split)
+    extra = sessions.sessionise(discovery.dissect_discovered(packets, found), found, **split)
+    return discovery.merge_passes(first, extra)
