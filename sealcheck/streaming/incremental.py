@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.sources.packets import flatten_packets
+from sealcheck.sources.packets import flatten_packets, number_packets
 
 
-def new_packets(spark: SparkSession, folder: str) -> DataFrame:
-    """Streaming (capture, packet_no, json) of packet exports with one packet per line.
-
-    The order key is the line id inside the micro-batch; a file is never split over batches.
-    """
+def new_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Streaming lines of packet exports with one packet per line; a batch holds whole files."""
     lines = spark.readStream.schema("value string").format("text").load(folder)
     return lines.filter(F.col("value").contains("{")).select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("capture"),
-        F.monotonically_increasing_id().alias("packet_no"), F.col("value").alias("json"))
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("json"))
 
 
 def run_pending(spark: SparkSession, folder: str, checkpoint: str, handle) -> None:
     """Process what arrived since the last run, then stop. ``handle(packets, batch_id)``."""
-    query = (flatten_packets(new_packets(spark, folder)).writeStream.foreachBatch(handle)
+    def numbered(lines: DataFrame, batch_id: int) -> None:
+        placed = number_packets(lines.withColumn("line_no", F.monotonically_increasing_id()))
+        handle(flatten_packets(placed.select("capture", "packet_no", "json")), batch_id)
+
+    query = (new_lines(spark, folder).writeStream.foreachBatch(numbered)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()

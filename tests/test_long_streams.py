@@ -51,7 +51,7 @@ def sequential(rows):
             continue
         if client:
             words = text.split()
-            if "STARTTLS" in words:
+            if "STARTTLS" in text:
                 state["cmd"], state["waiting"] = i, True
                 state["first_cmd"] = state["first_cmd"] or i
                 if len(words) == 2 and hint:
@@ -63,7 +63,7 @@ def sequential(rows):
                 state["waiting"] = False
                 continue
             words = text.split()
-            if "CAPABILITY" in text or words[1] not in ("OK", "NO", "BAD") or (state["tag"] and words[0] != state["tag"]):
+            if len(words) < 2 or "CAPABILITY" in text or words[1] not in ("OK", "NO", "BAD") or (state["tag"] and words[0] != state["tag"]):
                 if not (text == "* BYE" and not state["tag"]):
                     continue
             state["yes" if words[1] == "OK" else "no"] = True
