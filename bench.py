@@ -1,7 +1,7 @@
 """Headline timings: sessions per second from typed packets to findings and summaries.
 
 Typed packets and certificates are derived from the driver's tables and written once
-(not timed), as an export job would leave them. Every query is then read from Parquet,
+(not timed) in as many files as there are CPUs, as an export job would leave them. Every query is then read from Parquet,
 run once to warm the JVM and timed on the second run.
 """
 
@@ -27,8 +27,8 @@ def main() -> None:
         "spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "false"})
     spark.sparkContext.setLogLevel("OFF")
     work = tempfile.mkdtemp(prefix="bench-")
-    views.typed_packets(spark, SF_DIR).write.parquet(f"{work}/packets")
-    views.typed_packets(spark, SF_DIR, hints=False).write.parquet(f"{work}/unhinted")
+    views.typed_packets(spark, SF_DIR).repartition(int(CPUS)).write.parquet(f"{work}/packets")
+    views.typed_packets(spark, SF_DIR, hints=False).repartition(int(CPUS)).write.parquet(f"{work}/unhinted")
     views.certificate_dimension(spark, SF_DIR).write.parquet(f"{work}/certs")
     packets, unhinted = spark.read.parquet(f"{work}/packets"), spark.read.parquet(f"{work}/unhinted")
     certs = spark.read.parquet(f"{work}/certs")

@@ -100,22 +100,24 @@ def attach_certificates(sessions: DataFrame, certs: DataFrame | None = None, cha
     No usable value: absent. A value without facts: present, everything else unknown.
     """
     leaf, df = F.col("leaf_fingerprint"), sessions
+    if chains is not None:      # same key as the fold: no further shuffle of the sessions
+        df = df.join(chains, ["capture", "stream_id"], "left")
+        state, length, complete = F.col("chain_status"), F.col("chain_length"), F.col("chain_complete")
+    else:
+        state, length, complete = (F.lit(None).cast(t) for t in ("string", "int", "boolean"))
     if certs is None:
         nothing = F.lit(None)
         df = df.select("*", F.lit(False).alias("cert_readable"), *[
             nothing.cast("array<string>" if c == "sans" else "string" if c in _TEXT else
                          "boolean" if c in _FLAGS else "bigint").alias(f"cert_{c}") for c in _ATTACHED])
     else:
+        # Sessions without a leaf get a key of their own, so that they do not meet in one task.
+        df = df.withColumn("leaf_key", F.coalesce(leaf, F.concat_ws(" ", F.lit("none"), "capture", "stream_id")))
         facts = validity_facts(certs, as_of_epoch).select(
-            F.col("fingerprint").alias("leaf_fingerprint"), F.lit(True).alias("cert_readable"),
+            F.col("fingerprint").alias("leaf_key"), F.lit(True).alias("cert_readable"),
             *[F.col(c).alias(f"cert_{c}") for c in _ATTACHED])
-        df = df.join(facts, "leaf_fingerprint", "left")
+        df = df.join(facts, "leaf_key", "left")
     readable = F.coalesce("cert_readable", F.lit(False))
-    if chains is not None:
-        df = df.join(chains, ["capture", "stream_id"], "left")
-        state, length, complete = F.col("chain_status"), F.col("chain_length"), F.col("chain_complete")
-    else:
-        state, length, complete = (F.lit(None).cast(t) for t in ("string", "int", "boolean"))
     return df.select(
         "*", leaf.isNotNull().alias("cert_present"), leaf.alias("cert_fingerprint"),
         F.when(readable, tls.hostname_match(F.col("cert_sans"), F.col("cert_common_name"), F.col("sni")))
@@ -125,4 +127,4 @@ def attach_certificates(sessions: DataFrame, certs: DataFrame | None = None, cha
         F.when(readable, complete).alias("cert_chain_complete"),
         F.when(readable, certificate_status("cert_")).otherwise("UNKNOWN").alias("cert_status"),
     ).withColumn("cert_weak_signature", F.coalesce("cert_weak_signature", F.lit(False))) \
-     .drop("cert_readable", "leaf_fingerprint", "chain_status", "chain_length", "chain_complete")
+     .drop("cert_readable", "leaf_fingerprint", "leaf_key", "chain_status", "chain_length", "chain_complete")

@@ -276,7 +276,7 @@ def replicate_shift(packets: DataFrame, times: int, shift_s: int) -> DataFrame:
     """The packet table ``times`` times, shifted in time, under new stream ids."""
     copies = packets.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     changed = {
-        "ts_us": F.col("ts_us") + F.col("copy_no") * F.lit(shift_s * 1_000_000),
+        "ts_us": F.col("ts_us") + F.col("copy_no").cast("bigint") * F.lit(shift_s * 1_000_000),
         "stream_id": F.concat("stream_id", F.lit("-"), "copy_no"),
     }
     return copies.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in packets.columns], "copy_no")
