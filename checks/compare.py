@@ -65,7 +65,8 @@ def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-                                                "spark.ui.showConsoleProgress": "false"})
+                                                "spark.ui.showConsoleProgress": "false",
+                                                "spark.sql.session.timeZone": os.environ.get("COMPARE_TZ", "UTC")})
     spark.sparkContext.setLogLevel("OFF")
     from checks.oracle import SQL
     from checks.spark_queries import QUERIES
