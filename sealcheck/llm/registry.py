@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sealcheck.llm import quality_rules
+from sealcheck.llm import line_dedup, quality_rules
 
-QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules, "op5_line_dedup": line_dedup.op5_line_dedup}
+SQL = {"op5_line_dedup": line_dedup.ORACLE}
