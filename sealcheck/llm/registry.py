@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from sealcheck.llm import line_dedup, quality_rules
+from sealcheck.llm import line_dedup, packing, pii, quality_rules
 
-QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules, "op5_line_dedup": line_dedup.op5_line_dedup}
+QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_pii": pii.op6_pii,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
+}
 SQL = {"op5_line_dedup": line_dedup.ORACLE}
