@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sealcheck.llm import line_dedup, packing, pii, quality_rules
+from sealcheck.llm import line_dedup, ngram_join, packing, pii, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_pii": pii.op6_pii,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-SQL = {"op5_line_dedup": line_dedup.ORACLE}
+SQL = {"op3_ngram_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
