@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sealcheck.llm import line_dedup, ngram_join, packing, pii, quality_rules
 
 QUERIES = {
@@ -10,5 +11,9 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_pii": pii.op6_pii,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "pipeline": corpus_pipeline.run,
+}
+SQL = {
+    "op3_ngram_join": ngram_join.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
 }
-SQL = {"op3_ngram_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
