@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sealcheck.llm import line_dedup, ngram_join, packing, pii, quality_rules
+from sealcheck.llm import fingerprints, line_dedup, ngram_join, packing, pii, quality_rules, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_pii": pii.op6_pii,
+    "op7_warc": warc.op7_warc,
+    "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op3_ngram_join": ngram_join.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
