@@ -54,7 +54,7 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> str:
         self._made += 1
         name = f"{self.name}_{self._made}"
-        rows.write.format("parquet").bucketBy(self.buckets, "h1").sortBy("h1").saveAsTable(name)
+        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         return name
 
     def runs(self) -> list[str]:
