@@ -128,7 +128,8 @@ def with_clean_text(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_column}`").alias("_id"),
                        F.col(f"`{text}`").alias("_text"))
     # the lines are a column of their own, so that they are split once and not once per kept line
-    parts = (rows.join(lists, F.col("_id") == F.col("_key"), "left")
+    # texts are dealt by id at every size: a broadcast list would be the other plan only while the input is small
+    parts = (rows.join(lists.hint("merge"), F.col("_id") == F.col("_key"), "left")
              .select("row", "_text", "dropped", text_lines(F.col("_text")).alias("_lines")))
     stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("dropped"))
     kept = F.when(F.col("dropped").isNull(), F.coalesce("_text", F.lit(""))).otherwise(

@@ -193,7 +193,7 @@ def join_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     live = common.stage(indexed.join(leaders, "sig").select("sig", "rep", "n", "lead"), "live")
     wanted = live.select("rep").distinct()
     rep_facts = common.stage(reps.select("rep", "n", "bits").join(wanted, "rep"), "repfacts")
-    sets = common.stage(_sets(docs.join(rep_facts.select(F.col("rep").alias(id_column)).distinct(), id_column, "left_semi"), id_column, text)
+    sets = common.stage(_sets(docs.join(rep_facts.select(F.col("rep").alias(id_column)).distinct().hint("merge"), id_column, "left_semi"), id_column, text)
                         .withColumnRenamed("doc_id", "rep"), "sets")
 
     pairs = (live.where(F.col("rep") != F.col("lead.rep")).where(_size_fits(F.col("n"), F.col("lead.n"), percent))
@@ -230,7 +230,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """The rows of ``docs`` that are the smallest id of their component; rows without an id stay."""
     joined = join_documents(docs, id_column, text, **options)
     copies = joined.where("component_id <> doc_id").select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(copies, id_column, "left_anti").select(*docs.columns)
+    return docs.join(copies.hint("merge"), id_column, "left_anti").select(*docs.columns)
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
