@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sealcheck.llm import fingerprints, line_dedup, ngram_join, packing, pii, quality_rules, warc
+from sealcheck.llm import bytebpe, fingerprints, line_dedup, ngram_join, packing, pii, quality_rules, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_warc": warc.op7_warc,
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
+    "op9_byte_bpe": bytebpe.op9_byte_bpe,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Distinct units a worker remembers; beyond it the memo starts anew, which costs time and changes no result.
-MEMO_UNITS = 1_500_000
+MEMO_UNITS = 2_500_000
 
 
 class UnitMemo:
