@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sealcheck.llm import common, textscan
 from sealcheck.llm.unitmemo import UnitMemo, ragged
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes of pieces in one recursive query, token rows in one decoding query.
 QUERY_BYTES, QUERY_TOKENS = 1 << 20, 1 << 20
 LONG_PIECE = 256
+#: Distinct units a worker remembers.
+MEMO_UNITS = 2_000_000
 #: White space beyond ASCII, in UTF-8: such texts are one unit.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
@@ -78,7 +80,7 @@ class Codec:
         self._table("vocabulary_rows", {"id": pa.array(list(self.ranks.values()), pa.int64()),
                                         "bytes": pa.array([t.decode("latin-1") for t in self.ranks])})
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_rows")
-        self.memo = UnitMemo(self.encode_units)
+        self.memo = UnitMemo(self.encode_units, MEMO_UNITS)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register(name, pa.table(columns))

@@ -25,7 +25,7 @@ from sealcheck.llm.unitmemo import UnitMemo
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a group on average, and fillings tried in a group.
 GROUP_PIECES, NODES = 20_000, 4_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 @functools.lru_cache(maxsize=2)

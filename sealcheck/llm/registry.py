@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sealcheck.llm import bytebpe, fingerprints, line_dedup, ngram_join, packing, pii, quality_rules, warc
+from sealcheck.llm import bytebpe, fingerprints, line_crf, line_dedup, ngram_join, packing, pii, quality_rules, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_quality_classifier": line_crf.op2_quality_classifier,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_pii": pii.op6_pii,
     "op7_warc": warc.op7_warc,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Distinct units a worker remembers; beyond it the memo starts anew, which costs time and changes no result.
-MEMO_UNITS = 2_500_000
+MEMO_UNITS = 1_000_000
 
 
 class UnitMemo:
@@ -31,11 +31,10 @@ class UnitMemo:
         self.pool[self.used:self.used + len(ids)] = ids
         at = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.size = np.concatenate([self.size, sizes])[order]
+        place = np.searchsorted(self.keys, keys)        # both ascend
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, at)
+        self.size = np.insert(self.size, place, sizes)
 
     def ids_of(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units end to end, ids per unit) for the units at ``start`` to ``end`` of ``data``."""
