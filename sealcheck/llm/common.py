@@ -23,11 +23,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own switch: the shuffle files of a finished query go at its end and not when the driver happens to collect garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet in the shared folder and read it back: cuts the lineage and prunes columns later."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write once as Parquet in the shared folder and read it back: cuts the lineage and prunes columns later.
+
+    The table is the only thing later plans read, so the shuffles behind it are given up at once.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*staged: DataFrame | None) -> None:

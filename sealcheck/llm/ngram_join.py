@@ -27,7 +27,7 @@ from sealcheck.llm import common, textscan
 
 PERCENT = 80
 #: A token counted more often than this is frequent.
-FREQUENT = 32
+FREQUENT = 16
 #: Frequent tokens that are broadcast at most (8 bytes each); beyond it they are joined.
 BROADCAST_TOKENS = 1 << 20
 #: Looks at a leader before members of different components are compared.
