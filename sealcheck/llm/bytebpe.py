@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sealcheck.llm import common, textscan
 from sealcheck.llm.unitmemo import UnitMemo, ragged
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of pieces in one recursive query, token rows in one decoding query.
-QUERY_BYTES, QUERY_TOKENS = 1 << 20, 1 << 20
+QUERY_BYTES, QUERY_TOKENS = 384 << 10, 512 << 10
 LONG_PIECE = 256
 #: Distinct units a worker remembers.
-MEMO_UNITS = 2_000_000
+MEMO_UNITS = 1_500_000
 #: White space beyond ASCII, in UTF-8: such texts are one unit.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
@@ -72,7 +72,7 @@ class Codec:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left, right] = rank
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         keys = np.array(list(self.pairs), np.int64).reshape(-1, 2)
         self._table("merge_rows", {"pair": keys[:, 0] * 2**32 + keys[:, 1], "rank": np.array(list(self.pairs.values()), np.int64)})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
@@ -216,11 +216,19 @@ def decoded(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", ke
     return common.map_texts(rows, ids, rows.columns if keep is None else keep, work, [T.StructField("bytes", T.BinaryType())], CHUNK_BYTES)
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``row``, ``out.ids`` and ``out.bytes``: both of the above in one worker, which then holds one codec."""
+    def work(texts: list[bytes]) -> dict[str, list]:
+        own = codec(ranks_path, pattern)
+        ids = own.encode(texts)
+        return {"ids": [i.astype("<u4").tobytes() for i in ids], "bytes": own.decode(ids)}
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("bytes", T.BinaryType())]
+    return common.map_texts(docs, text, docs.columns if keep is None else keep, work, fields, CHUNK_BYTES)
+
+
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encoded(docs, path, pattern, keep=["doc_id"]).select("row.doc_id", "out.ids")
-    back = decoded(ids.select("doc_id", "ids", F.sha2("ids", 256).alias("ids_sha256"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens")),
-                   path, pattern, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("row.doc_id", "row.n_tokens", "row.ids_sha256", F.sha2("out.bytes", 256).alias("decoded_sha256"))
+    both = round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+    return both.select("row.doc_id", (F.octet_length("out.ids") / 4).cast("long").alias("n_tokens"), F.sha2("out.ids", 256).alias("ids_sha256"),
+                       F.sha2("out.bytes", 256).alias("decoded_sha256"))
