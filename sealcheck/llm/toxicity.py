@@ -81,8 +81,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def gram_counts(labelled: DataFrame) -> pd.DataFrame:
-    """Documents of each class (columns pos, neg) per bucket that any of the (text, label) rows has, at most BUCKETS rows."""
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """Documents of each class (columns pos, neg) per bucket that any of the (text, label) rows has."""
     schema = T.StructType([common.long_field("bucket"), common.long_field("pos"), common.long_field("neg")])
 
     def count(batches):
@@ -100,7 +100,16 @@ def gram_counts(labelled: DataFrame) -> pd.DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(totals[1][part]), pa.array(totals[0][part])], names=schema.names)
 
     summed = labelled.select("text", "label").mapInArrow(count, schema).groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return summed.where(F.col("pos") + F.col("neg") >= LEAST_DOCS).toPandas().sort_values("bucket")
+    return summed.where(F.col("pos") + F.col("neg") >= LEAST_DOCS)
+
+
+def best_grams(counts: DataFrame, n_pos: int, n_neg: int) -> pd.DataFrame:
+    """The FEATURES buckets of the highest chi-square, by bucket."""
+    seen = F.col("pos") + F.col("neg")
+    expected = seen * (n_pos / (n_pos + n_neg))
+    gap = F.col("pos") - expected
+    chi = gap * gap / expected + gap * gap / (seen - expected)
+    return counts.withColumn("chi", chi).orderBy(F.desc("chi"), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
 
 
 def fit_logistic(rows: np.ndarray, features: np.ndarray, values: np.ndarray, label: np.ndarray, width: int) -> tuple[np.ndarray, float]:
@@ -121,21 +130,19 @@ def fit_logistic(rows: np.ndarray, features: np.ndarray, values: np.ndarray, lab
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic",
         sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the labelled rows; null ids and labels other than 0 and 1 are left out, repeated rows count each time."""
+    # labels grow with the texts, so they meet by a merge join at every size
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("label"))
-    labelled = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(known, "_id")
-    counts = gram_counts(labelled)
-    pos, neg = counts["pos"].to_numpy(float), counts["neg"].to_numpy(float)
+    labelled = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(known.hint("merge"), "_id")
     classes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     n_pos, n_neg = classes.get(1, 0), classes.get(0, 0)
     none = np.full(BUCKETS, -1, np.int32)
-    if not n_pos or not n_neg or not len(counts):
+    best = best_grams(gram_counts(labelled), n_pos, n_neg) if n_pos and n_neg else None
+    if best is None or not len(best):
         return Model(none, np.zeros(1), float(np.log((n_pos + 0.5) / (n_neg + 0.5))))
-    expected = (pos + neg) * n_pos / (n_pos + n_neg)
-    chi = (pos - expected) ** 2 / expected + (pos - expected) ** 2 / ((pos + neg) - expected)
-    best = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    ratio = np.log((pos[best] + SMOOTHING) / (n_pos + 2 * SMOOTHING)) - np.log((neg[best] + SMOOTHING) / (n_neg + 2 * SMOOTHING))
+    pos, neg = best["pos"].to_numpy(float), best["neg"].to_numpy(float)
+    ratio = np.log((pos + SMOOTHING) / (n_pos + 2 * SMOOTHING)) - np.log((neg + SMOOTHING) / (n_neg + 2 * SMOOTHING))
     feature_of = none.copy()
-    feature_of[counts["bucket"].to_numpy()[best]] = np.arange(len(best))
+    feature_of[best["bucket"].to_numpy()] = np.arange(len(best))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(sample_rows)
     sample = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
 
