@@ -1,7 +1,7 @@
 """WARC archives written and read index first.
 
 Writing: pages with a payload of at least ``LEAST_BYTES`` bytes that an earlier page holds become revisit records; each task appends its
-records to a file of its own in a shared folder and returns page id, URL, digest, file, offset and length of each. Only the
+records, a gzip member each, to a file of its own in a shared folder and returns page id, URL, digest, file, offset and length of each. Only the
 index rows of successful tasks are committed, so files of lost attempts are never read.
 
 Reading: selected index rows are dealt by file and stretch, sorted by offset, and neighbouring byte ranges are read at once. Digests of
@@ -17,6 +17,7 @@ import hashlib
 import re
 import urllib.parse
 import uuid
+import zlib
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -45,7 +46,7 @@ def revisits(pages: DataFrame, id_column: str = "page_id", html: str = "html") -
 
 
 def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One record. The block of a revisit is the HTTP head alone, which states the length of the payload it stands for."""
+    """One record as a gzip member. The block of a revisit is the HTTP head alone, which states the length of the payload it stands for."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -55,12 +56,14 @@ def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: s
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{RECORD_ID}{refers_to}>"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    record = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
 
 
 def parse_record(record: bytes) -> dict[str, str | bytes | int | None]:
     """Headers, payload length and payload (None for a revisit) of one record."""
-    head, _, rest = record.partition(b"\r\n\r\n")
+    head, _, rest = zlib.decompress(record, 31).partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[:int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
@@ -87,7 +90,7 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     def write(batches):
         system, path = open_folder(folder)
         system.create_dir(path, recursive=True)
-        name, out, at = f"pages-{uuid.uuid4().hex}.warc", None, 0
+        name, out, at = f"pages-{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
             index = []
             for page_id, link, payload, digest, refers in zip(*[batch.column(i).to_pylist() for i in range(5)]):
