@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from checks.views import AS_OF_EPOCH, CERTIFICATES_SQL, PACE, PACKETS_SQL, START_US, STREAMS_SQL
 from sealcheck.tables import (
-    BASELINE_ADVICE, CAPABILITY_WORDS, CIPHER_SUITES, CLEARTEXT_FORBIDDEN, CLEARTEXT_MODES, EVIDENCE, FEATURES,
+    ALL_INSIDE, BASELINE_ADVICE, CAPABILITY_WORDS, CIPHER_SUITES, CLEARTEXT_FORBIDDEN, CLEARTEXT_MODES, EVIDENCE, FALLBACK_NOTE, FEATURES,
     IMPLICIT_FORBIDDEN, MAIL_VOCABULARY, PAYLOAD_TOKENS, PROFILES, REJECTED_MODES, RULES, SERVER_GREETINGS,
     SEVERITIES, SWEEP_PORTS, TLS_VERSIONS, UPGRADE_FORBIDDEN, UPGRADE_MODES,
 )
@@ -463,24 +463,27 @@ SQL["G13_capture_check"] = scored("""SELECT capture, count(*) AS sessions, CAST(
 # ------------------------------------------------------------------ M
 SQL["M1_feature_risk_label"] = scored("SELECT capture, session_id, label_score, ml_class AS feature_label FROM sc")
 CAPNO = "CAST(substr(capture, 5) AS INT)"
-TRAIN = f"train AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY first_frame, session_id) AS k FROM sc WHERE {CAPNO} % 4 <> 3), rep AS (SELECT train.*, c AS copy_no FROM train CROSS JOIN (VALUES (1), (2)) r(c) WHERE k <= 30)"
+TRAIN = f"train AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY first_frame, session_id) AS k FROM sc WHERE {CAPNO} % 4 <> 3), rep AS (SELECT train.*, c AS copy_no FROM train CROSS JOIN (VALUES (1), (2)) r(c) WHERE k <= 300)"
 SQL["M2_training_rows"] = scored(f", {TRAIN} SELECT capture, session_id, copy_no FROM rep")
 SQL["M3_stratified_split"] = scored("""SELECT capture, session_id, policy_risk_class, row_number() OVER (PARTITION BY policy_risk_class ORDER BY md5(capture || '|' || session_id || '|42'))
   <= ceil(count(*) OVER (PARTITION BY policy_risk_class) * CAST(0.8 AS DOUBLE)) AS is_train FROM sc""")
 SQL["M4_class_weights"] = scored(f", {TRAIN}, c AS (SELECT policy_risk_class AS label, count(*) AS n FROM rep GROUP BY 1) SELECT label, round_even(CAST((SELECT sum(n) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM c")
-SQL["M8_rule_fallback"] = scored("SELECT capture, session_id, CASE WHEN server_port <> 25 THEN ml_class ELSE policy_risk_class END AS ml_class, CASE WHEN server_port <> 25 THEN 'synthetic-v2' ELSE 'rule-fallback (stale)' END AS ml_version FROM sc")
+SQL["M8_rule_fallback"] = scored(f"SELECT capture, session_id, CASE WHEN server_port <> 25 THEN ml_class ELSE policy_risk_class END AS ml_class, CASE WHEN server_port <> 25 THEN 'synthetic-v2' ELSE 'rule-fallback (not_predicted)' END AS ml_version, CASE WHEN server_port = 25 THEN {q(FALLBACK_NOTE)} END AS ml_note FROM sc")
 SQL["M9_explanations"] = scored("""SELECT sc.capture, sc.session_id, coalesce(t.titles, '') AS titles FROM sc LEFT JOIN (SELECT capture, session_id, string_agg(title, ';' ORDER BY pos) AS titles FROM
   (SELECT *, row_number() OVER (PARTITION BY capture, session_id ORDER BY pos) AS k FROM fnd WHERE severity NOT IN ('INFO', 'LOW')) x WHERE k <= 5 GROUP BY ALL) t USING (capture, session_id)""")
 SQL["M10_confusion"] = scored("SELECT policy_risk_class, " + ", ".join(f'count(*) FILTER (ml_class = {q(c)}) AS "{c}"' for c in ("CRITICAL", "HIGH", "LOW", "MEDIUM")) + " FROM sc GROUP BY policy_risk_class")
 SQL["M10_agreement"] = scored("SELECT capture, count(*) AS rows, count(*) FILTER (ml_class = policy_risk_class) AS correct, round_even(CAST(count(*) FILTER (ml_class = policy_risk_class) AS DOUBLE) / count(*), 4) AS accuracy FROM sc GROUP BY capture")
-LONG = "feat AS (SELECT capture, session_id, server_port, feature, value FROM (" + " UNION ALL ".join(
-    f"SELECT capture, session_id, server_port, {q(n)} AS feature, CAST({FEATURE_SQL[n]} AS DOUBLE) AS value FROM st" for n in FEATURES) + ") x)"
+LONG = "feat AS (SELECT capture, session_id, server_port, first_frame, feature, value FROM (" + " UNION ALL ".join(
+    f"SELECT capture, session_id, server_port, first_frame, {q(n)} AS feature, CAST({FEATURE_SQL[n]} AS DOUBLE) AS value FROM st" for n in FEATURES) + ") x)"
 SQL["M13_feature_ranges"] = f"{TO_SESSIONS}, {LONG} SELECT feature, round_even(min(value), 6) AS min, round_even(quantile_cont(value, 0.01), 6) AS p01, round_even(quantile_cont(value, 0.5), 6) AS p50, round_even(quantile_cont(value, 0.99), 6) AS p99, round_even(max(value), 6) AS max FROM feat GROUP BY feature"
 POSITION = "CASE feature " + " ".join(f"WHEN {q(n)} THEN {i}" for i, n in enumerate(FEATURES)) + " END"
 NOVEL = f"""{LONG}, bounds AS (SELECT feature, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM feat WHERE server_port IN (25, 465, 587) GROUP BY feature),
   nov AS (SELECT capture, session_id, coalesce(string_agg(feature, ';' ORDER BY {POSITION}) FILTER (value < lo OR value > hi), '') AS outside, count(*) FILTER (value < lo OR value > hi) AS n FROM feat JOIN bounds USING (feature) GROUP BY capture, session_id)"""
-SQL["M14_novelty_session"] = f"{TO_SESSIONS}, {NOVEL} SELECT capture, session_id, outside, n >= 2 AS novel, CASE WHEN n >= 2 THEN 'OUTSIDE TRAINING RANGE' ELSE 'within training range' END AS novelty_verdict FROM nov"
-SQL["M15_novelty_capture"] = f"""{TO_SESSIONS}, {NOVEL}, o AS (SELECT capture, string_agg(feature, ';' ORDER BY {POSITION}) AS outside_features, count(*) AS k FROM (SELECT DISTINCT capture, feature FROM feat JOIN bounds USING (feature) WHERE value < lo OR value > hi) x GROUP BY capture),
+SQL["M14_novelty_session"] = f"""{TO_SESSIONS}, {NOVEL} SELECT capture, session_id, outside, n >= 2 AS novel, CASE WHEN n >= 2 THEN 'OUTSIDE TRAINING RANGE' ELSE 'within training range' END AS novelty_verdict,
+  CASE WHEN n = 0 THEN {q(ALL_INSIDE)} WHEN n >= 2 THEN n || ' of {len(FEATURES)} features are outside the training range: ' || listed || '. The ML class is not validated for this session - rely on the rule findings.'
+  ELSE 'Features slightly outside the training range: ' || listed || '.' END AS novelty_note
+  FROM (SELECT *, array_to_string(string_split(outside, ';')[1:6], ', ') || CASE WHEN n > 6 THEN ' (+' || (n - 6) || ' more)' ELSE '' END AS listed FROM nov) x"""
+SQL["M15_novelty_capture"] = f"""{TO_SESSIONS}, {NOVEL}, o AS (SELECT capture, string_agg(feature, ';' ORDER BY ff, sid, {POSITION}) AS outside_features, count(*) AS k FROM (SELECT capture, feature, min(first_frame) AS ff, first(session_id ORDER BY first_frame, session_id) AS sid FROM feat JOIN bounds USING (feature) WHERE value < lo OR value > hi GROUP BY capture, feature) x GROUP BY capture),
   t AS (SELECT capture, count(*) AS sessions, count(*) FILTER (n >= 2) AS novel_sessions FROM nov GROUP BY capture)
   SELECT capture, sessions, novel_sessions, coalesce(outside_features, '') AS outside_features, CASE WHEN coalesce(k, 0) >= 2 THEN 'OUTSIDE TRAINING RANGE' ELSE 'within training range' END AS verdict,
   CASE WHEN novel_sessions > 0 THEN novel_sessions || ' of ' || sessions || ' session(s) fall outside the training range. The rule findings still apply; treat the ML class as unvalidated here.'
@@ -507,7 +510,7 @@ exp AS (SELECT m.* EXCLUDE (profile), m.profile, pv, pfs, coalesce(pcert, FALSE)
     FROM modes m LEFT JOIN profiles p ON p.profile = m.profile)"""
 MATCHED = f"""{EXPECTED},
 rnd AS (SELECT exp.*, unnest(range(1, rounds + 1)) AS round FROM exp),
-em AS (SELECT rnd.*, row_number() OVER (PARTITION BY capture, protocol, server_port, client_port ORDER BY round, mode, profile) AS k FROM rnd),
+em AS (SELECT rnd.*, row_number() OVER (PARTITION BY capture, protocol, server_port, client_port ORDER BY mode, coalesce(profile, ''), round) AS k FROM rnd),
 am AS (SELECT *, row_number() OVER (PARTITION BY capture, protocol, server_port, client_port ORDER BY first_frame, session_id) AS k FROM sc),
 mt AS (SELECT em.capture, em.grp, em.protocol, em.server_port, em.client_port, em.mode, em.profile, em.round, em.k, em.unseen, em.want, em.ban, em.exact, em.band, em.pv, em.pfs, em.pcert, am.session_id, am.session_id IS NOT NULL AS ok_matched,
     am.code_list, am.codes, am.tls_version, am.tls_detected, am.forward_secrecy AS fs, am.cert_present, am.policy_risk_class AS pc, am.ml_class AS mc, am.cipher_suite

@@ -5,6 +5,7 @@ Lists, maps and structs are flattened to text so that any engine can compare the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,7 +16,7 @@ from sealcheck.operators import (
     anomaly, certificates, discovery, evaluation, features, reports, rules, scoring, sessions, triage,
 )
 from sealcheck.plans import posture
-from sealcheck.session import materialise
+from sealcheck.session import materialise, use_checkpoint_dir
 from sealcheck.sources import captures, packets, sinks
 from sealcheck.tables import FEATURES, RULES
 
@@ -83,6 +84,12 @@ def scored(spark, sf):
     return triage.feature_risk_label(rows).withColumnRenamed("feature_label", "ml_class").drop("label_score")
 
 
+def scratch(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def session_columns(spark, sf, *columns):
     return folded(spark, sf).select("capture", "stream_id", *columns)
 
@@ -119,8 +126,9 @@ def _(spark, sf):
 
 @query("S4_field_subset_scan")
 def _(spark, sf):
-    rows = typed(spark, sf).filter("is_tls").select("packet_no", F.array_join("ciphers", ",").alias("ciphers"))
-    return packets.split_multi(rows, ["ciphers"]).select(
+    path = scratch(spark, "fields")
+    typed(spark, sf).filter("is_tls").select("packet_no", F.array_join("ciphers", ",").alias("ciphers")).write.option("sep", "\t").csv(path)
+    return packets.read_packet_columns(spark, path, ["packet_no", "ciphers"], ("ciphers",)).select(
         "packet_no", F.explode("ciphers").alias("suite")).groupBy("suite").agg(count().alias("n"))
 
 
@@ -132,8 +140,10 @@ def _(spark, sf):
 
 @query("S6_capture_records")
 def _(spark, sf):
-    records = scoring.batch_record(scored(spark, sf))
-    return records.select("capture", F.to_json(F.struct("total_sessions", "total_findings", "overall_risk_class")).alias("record"))
+    path = scratch(spark, "records")
+    sinks.write_captures(scoring.batch_record(scored(spark, sf)), path)
+    back = spark.read.schema("capture string, total_sessions bigint, total_findings bigint, overall_risk_class string").json(path)
+    return back.select("capture", F.to_json(F.struct("total_sessions", "total_findings", "overall_risk_class")).alias("record"))
 
 
 @query("S7_capture_csv")
@@ -176,7 +186,9 @@ def analyses(spark, sf):
 
 @query("S11_load_analysis")
 def _(spark, sf):
-    return analyses(spark, sf).filter(F.col("analysis_id") == "a000000042").select("analysis_id", "source_filename", "size_bytes")
+    path = scratch(spark, "analyses")
+    sinks.save_analysis(analyses(spark, sf), path)
+    return sinks.load_analysis(spark, path, "a000000042").select("analysis_id", "source_filename", "size_bytes")
 
 
 @query("S12_dataset_release")
@@ -606,7 +618,7 @@ def with_paths(rows: DataFrame) -> DataFrame:
 
 
 def training(spark, sf):
-    rows = triage.training_rows(with_paths(scored(spark, sf)), cap=30)
+    rows = triage.training_rows(with_paths(scored(spark, sf)), "/work")
     return triage.training_frame(rows, "policy_risk_class")
 
 
@@ -617,7 +629,7 @@ def _(spark, sf):
 
 @query("M2_training_rows")
 def _(spark, sf):
-    return triage.training_rows(with_paths(scored(spark, sf)), cap=30).select("capture", "session_id", "copy_no")
+    return triage.training_rows(with_paths(scored(spark, sf)), "/work").select("capture", "session_id", "copy_no")
 
 
 @query("M3_stratified_split")
@@ -646,7 +658,7 @@ def _(spark, sf):
 
 @query("M6_fit_anomaly")
 def _(spark, sf):
-    low = scored(spark, sf).filter(F.col("policy_risk_score") < 60)
+    low = scored(spark, sf).filter(F.col("policy_risk_class") == "LOW")
     model = anomaly.fit_anomaly(low, ["capture", "session_id"])
     sizes = [(i, int(len(t[0])), int((t[0] < 0).sum())) for i, t in enumerate(model.trees)]
     return spark.createDataFrame(sizes, "tree int, nodes int, leaves int")
@@ -655,7 +667,7 @@ def _(spark, sf):
 @query("M7_score_anomaly")
 def _(spark, sf):
     rows = scored(spark, sf)
-    model = anomaly.fit_anomaly(rows.filter(F.col("policy_risk_score") < 60), ["capture", "session_id"])
+    model = anomaly.fit_anomaly(rows.filter(F.col("policy_risk_class") == "LOW"), ["capture", "session_id"])
     return anomaly.score_anomaly(rows, model).select("capture", "session_id", "ml_anomalous", "ml_anomaly_score")
 
 
@@ -664,7 +676,7 @@ def _(spark, sf):
     rows = scored(spark, sf)
     guess = rows.filter(F.col("server_port") != 25).select("capture", "session_id", "ml_class")
     return triage.rule_fallback(rows.drop("ml_class"), guess, triage.schema_fingerprint()) \
-        .select("capture", "session_id", "ml_class", "ml_version")
+        .select("capture", "session_id", "ml_class", "ml_version", "ml_note")
 
 
 @query("M9_explanations")
@@ -708,7 +720,7 @@ def novelty(spark, sf):
 
 @query("M14_novelty_session")
 def _(spark, sf):
-    return novelty(spark, sf).select("capture", "session_id", text("outside_features").alias("outside"), "novel", "novelty_verdict")
+    return novelty(spark, sf).select("capture", "session_id", text("outside_features").alias("outside"), "novel", "novelty_verdict", "novelty_note")
 
 
 @query("M15_novelty_capture")
@@ -719,7 +731,7 @@ def _(spark, sf):
 @query("M16_model_freshness")
 def _(spark, sf):
     files = file_table(spark, sf).select("path", (F.col("length") + 1_700_000_000).alias("modified_epoch"), "page_id")
-    return triage.model_freshness(files, F.lit(1_700_000_900).cast("bigint")).select("newest", "model_epoch", "fresh")
+    return triage.model_freshness(files, F.lit(1_700_000_900).cast("bigint"), "/work").select("newest", "model_epoch", "fresh")
 
 
 # ------------------------------------------------------------------ E: expectations
@@ -858,7 +870,7 @@ def _(spark, sf):
 @query("E15_heldout_leak_check")
 def _(spark, sf):
     paths = with_paths(typed(spark, sf).select("capture").distinct())
-    train, held = paths.filter(triage.is_training_path(F.col("path"))), paths.filter(F.col("path").contains("/testset/"))
+    train, held = paths.filter(triage.is_training_path(F.col("path"), "/work")), paths.filter(F.col("path").contains("/testset/"))
     leaks = evaluation.heldout_leaks(train, held).agg(count().alias("leaks"))
     bare = evaluation.undeclared_sessions(expectation(spark, sf)).agg(count().alias("undeclared"))
     return leaks.select(F.lit("leaks").alias("name"), F.col("leaks").alias("n")).unionByName(
@@ -945,3 +957,12 @@ def _(spark, sf):
 @query("Q13_ml_disagreement_flag")
 def _(spark, sf):
     return reports.ml_disagreement_flag(scored(spark, sf))
+
+
+# ------------------------------------------------------------------ P: a whole analysis
+@query("P1_analyse")
+def _(spark, sf):
+    """Per capture, from packets whose unusual ports carry no hint."""
+    certs = views.certificate_dimension(spark, sf)
+    rows = posture.analyse(typed(spark, sf, False), certs, AS_OF).captures
+    return rows.select("capture", "state", "ok", "total_sessions", "total_findings", "overall_risk_class", "unclassified_streams", "unclassified_note")

@@ -1,8 +1,8 @@
 """Isolation forest over the session features.
 
-Each tree needs 256 rows. A hash keeps a pool large enough for all trees out of any number
-of sessions, trees draw from the pool, and every tree is grown in its own group of at most
-256 rows. Scoring walks the (bounded) trees over Arrow batches.
+Each tree needs 256 rows and draws them by hash from all sessions; a threshold on the hash keeps
+the rows that are copied to twice what the trees take, and every tree is grown in its own group of
+at most 256 rows. Scoring walks the (bounded) trees over Arrow batches.
 """
 
 from __future__ import annotations
@@ -88,14 +88,13 @@ def fit_anomaly(rows: DataFrame, identity: list[str], trees: int = TREES, sample
     rows = materialise(rows.select(*identity, *columns))       # counted, sampled and scored
     n = rows.count()
     size = min(sample, n)
-    pool_share = min(1.0, 4.0 * trees * size / max(n, 1))
     key = F.concat_ws("|", *identity)
-    pool = rows.select(*columns, key.alias("key")).filter(
-        F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) < int(pool_share * 1_000_000) + 1)
-    draw_share = min(1.0, 2.0 * size / max(n * pool_share, 1.0))
-    drawn = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")) \
-        .withColumn("luck", F.xxhash64("key", "tree", F.lit(seed))) \
-        .filter(F.pmod("luck", F.lit(1_000_000)) < int(draw_share * 1_000_000) + 1)
+    # every tree draws from all rows: those of its lowest hashes. A row lists the trees it may fall to before it is copied.
+    bound = min(2**63 - 1, (2**63 - 1) * 2 * size // max(n, 1))
+    luck = lambda tree: F.xxhash64("key", tree, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1))
+    drawn = (rows.select(*columns, key.alias("key"))
+             .withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: luck(t) <= bound)))
+             .withColumn("luck", luck(F.col("tree"))))
     place = F.row_number().over(W.partitionBy("tree").orderBy("luck", "key"))
     groups = drawn.withColumn("place", place).filter(F.col("place") <= size)
     limit = max(1, math.ceil(math.log2(max(size, 2))))

@@ -111,12 +111,12 @@ def merge_passes(first: DataFrame, extra: DataFrame) -> DataFrame:
     same = W.partitionBy("capture", "session_id", "server_port", "client_port")     # a session, seen once or twice
     both = first.withColumn("pass_no", F.lit(1)).unionByName(extra.withColumn("pass_no", F.lit(2)))
     kept = both.withColumn("earliest", F.min("pass_no").over(same)).filter(F.col("pass_no") == F.col("earliest"))
-    return kept.drop("pass_no", "earliest").orderBy("capture", F.coalesce("first_frame", F.lit(0)), "session_id")
+    return kept.drop("pass_no", "earliest")
 
 
 def unclassified_tls(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """TLS streams that did not become a mail session: ports, version, name, certificate."""
-    no, hello = F.col("packet_no"), F.coalesce("server_hello", F.lit(False))
+    no, hello = F.col("packet_no"), F.coalesce(F.array_contains("hs_types", "2"), F.lit(False))     # by type, not by text
     ends = F.struct("src_port", "dst_port", hello.alias("hello"))
     stated, legacy = tls.tls_version_name(F.col("supported_version")), tls.tls_version_name(F.col("legacy_version"))
     streams = packets.filter(F.col("is_tls") & F.col("stream_id").rlike("^[0-9]+$")).groupBy("capture", "stream_id").agg(

@@ -76,12 +76,17 @@ def coverage_matrix(spark: SparkSession, observed: DataFrame) -> DataFrame:
 def match_expected(expected: DataFrame, sessions: DataFrame) -> DataFrame:
     """Pair the k-th expected session with the k-th actual one of the same addresses.
 
+    Expected sessions follow entry by entry (``entry_no`` where it is declared, else mode and profile) and round by round
+    within an entry.
+
     The k-th place is counted in runs of rounds and frames, so one address pair may hold any
     share of the sessions.
     """
     rounds = expected.withColumn("round", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("rounds", F.lit(1)), F.lit(1)))))
-    declared_order = [c for c in ("mode", "profile") if c in expected.columns]
-    left = place_in_group(rounds, PAIR, ["round", *declared_order], F.floor(F.col("round") / RUN), "pair_no")
+    entry = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c != "entry_no" else F.col(c)
+             for c in ("entry_no", "mode", "profile") if c in expected.columns]
+    run = F.struct(*entry, F.floor(F.col("round") / RUN).alias("round_run"))
+    left = place_in_group(rounds, PAIR, [*entry, "round"], run, "pair_no")
     frame = F.coalesce("first_frame", F.lit(0))
     placed = place_in_group(sessions, PAIR, [frame, "session_id"], F.floor(frame / RUN), "pair_no")
     right = placed.select(

@@ -71,7 +71,7 @@ def lowest_share(rows: DataFrame, group: str, digest: str, share: float) -> Data
 def place_in_group(rows: DataFrame, keys: list[str], order: list, coarse, name: str) -> DataFrame:
     """Exact row_number per group without ordering a whole group in one task.
 
-    ``coarse`` is a whole-number column that never decreases along ``order``; runs of equal
+    ``coarse`` is a column (a number, or a struct without NULL) that never decreases along ``order``; runs of equal
     ``coarse`` are ranked on their own and shifted by the sizes of earlier runs. Keys may be NULL.
     """
     rows = rows.withColumn("coarse", coarse)

@@ -164,10 +164,23 @@ def ordered_rows(events: DataFrame, cut: DataFrame | None = None, run_packets: i
     """
     if cut is None:
         return _position_facts(_indexed_whole(events), KEY)
-    whole = _indexed_whole(events.join(F.broadcast(cut), KEY, "left_anti"))
-    runs = indexed_runs(events, cut, run_packets)
-    rows = whole.withColumn("run", F.lit(0).cast("bigint")).unionByName(runs)
-    return _position_facts(rows, KEY + ["run"])
+    whole, runs = _whole_and_runs(events, cut, run_packets)
+    return whole.withColumn("run", F.lit(0).cast("bigint")).unionByName(runs)
+
+
+def _whole_and_runs(events: DataFrame, cut: DataFrame, run_packets: int) -> tuple[DataFrame, DataFrame]:
+    """Position facts of ordinary streams and of the runs of cut ones; the streams are different ones."""
+    ordinary = events.join(F.broadcast(cut), KEY, "left_anti")
+    long = materialise(events.join(F.broadcast(cut), KEY, "left_semi"))     # read several times
+    return _position_facts(_indexed_whole(ordinary), KEY), _position_facts(indexed_runs(long, cut, run_packets), KEY + ["run"])
+
+
+def folded_streams(events: DataFrame, cut: DataFrame | None = None, run_packets: int = RUN_PACKETS) -> DataFrame:
+    """``stream_facts`` of all streams. Only the packets of cut streams take part in more than one shuffle."""
+    if cut is None:
+        return stream_facts(ordered_rows(events))
+    whole, runs = _whole_and_runs(events, cut, run_packets)
+    return stream_facts(whole).unionByName(stream_facts(runs))
 
 
 def _indexed_whole(events: DataFrame) -> DataFrame:
@@ -397,7 +410,7 @@ def sessionise(packets: DataFrame, discovered: DataFrame | None = None,
     ``split_above=None`` skips the look for long streams where they are known not to occur.
     """
     cut = None if split_above is None else long_streams(packets, split_above)
-    return finish_sessions(stream_facts(ordered_rows(packet_events(packets, discovered), cut, run_packets)))
+    return finish_sessions(folded_streams(packet_events(packets, discovered), cut, run_packets))
 
 
 # ------------------------------------------------------------------ nested record

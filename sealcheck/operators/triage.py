@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -15,7 +16,7 @@ from sealcheck.operators.ranks import exact_percentiles, lowest_share
 from sealcheck.operators.scoring import risk_band
 from sealcheck.session import materialise
 from sealcheck.tables import (
-    CAPTURE_SUFFIXES, FEATURES, MODEL_VERSION, RISK_BANDS, TRAINING_CAP, TRAINING_FOLDERS, TRAINING_REPEAT,
+    ALL_INSIDE, CAPTURE_SUFFIXES, FALLBACK_NOTE, FEATURES, MODEL_VERSION, STALE_NOTE, RISK_BANDS, TRAINING_CAP, TRAINING_FOLDERS, TRAINING_REPEAT,
 )
 
 CLASSES = ("CRITICAL", "HIGH", "LOW", "MEDIUM")     # sorted, as the trained model lists them
@@ -48,20 +49,21 @@ def feature_risk_label(features: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ training data
-def is_training_path(path: Column) -> Column:
-    """Captures directly inside one of the training folders."""
+def is_training_path(path: Column, root: str = "") -> Column:
+    """Captures directly inside one of the training folders below ``root``."""
     folders = "|".join(TRAINING_FOLDERS)
     endings = "|".join(s.lstrip(".") for s in CAPTURE_SUFFIXES if not s.endswith(".gz"))
-    return path.rlike(rf"^(?:.*/)?(?:{folders})/[^/]+\.(?:{endings})$")
+    below = re.escape(root.rstrip("/") + "/") if root else ""
+    return path.rlike(rf"^{below}(?:{folders})/[^/]+\.(?:{endings})$")
 
 
-def training_rows(sessions: DataFrame, cap: int = TRAINING_CAP, repeat: int = TRAINING_REPEAT) -> DataFrame:
+def training_rows(sessions: DataFrame, root: str = "", cap: int = TRAINING_CAP, repeat: int = TRAINING_REPEAT) -> DataFrame:
     """Sessions of training captures, the first ``cap`` of each, every row ``repeat`` times.
 
     ``row_number() <= cap`` is cut inside the tasks before the shuffle (window group limit).
     """
     order = W.partitionBy("capture").orderBy(F.coalesce("first_frame", F.lit(0)), "session_id")
-    kept = (sessions.filter(is_training_path(F.col("path")))
+    kept = (sessions.filter(is_training_path(F.col("path"), root))
             .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap).drop("place"))
     return kept.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.lit(repeat))))
 
@@ -113,17 +115,23 @@ def schema_fingerprint() -> str:
 
 
 def rule_fallback(scored: DataFrame, predictions: DataFrame | None = None, fingerprint: str | None = None) -> DataFrame:
-    """Model class where a current model predicted one, the rule class everywhere else."""
+    """Model class where a current model predicted one, the rule class everywhere else, which says why.
+
+    Fallback rows have no confidence and no anomaly score and are not anomalous.
+    """
     current = predictions is not None and fingerprint == schema_fingerprint()
     if current:
         keys = ["capture", "session_id"]
-        joined = scored.join(predictions.select(*keys, F.col("ml_class").alias("predicted")), keys, "left")
+        facts = [c for c in ("ml_confidence", "ml_anomaly_score", "ml_anomalous") if c in predictions.columns]
+        joined = scored.drop(*facts).join(predictions.select(*keys, F.col("ml_class").alias("predicted"), *facts), keys, "left")
     else:
         joined = scored.withColumn("predicted", F.lit(None).cast("string"))
-    state = "not_loaded" if predictions is None else "stale"
+    state = "not_loaded" if predictions is None else "not_predicted" if current else "stale"
+    note = F.lit(FALLBACK_NOTE if state != "stale" else f"{FALLBACK_NOTE} {STALE_NOTE}")
     return joined.select(
         "*", F.coalesce("predicted", "policy_risk_class").alias("ml_class"),
         F.when(F.col("predicted").isNotNull(), MODEL_VERSION).otherwise(f"rule-fallback ({state})").alias("ml_version"),
+        F.when(F.col("predicted").isNull(), note).alias("ml_note"),
     ).drop("predicted")
 
 
@@ -202,15 +210,29 @@ def novelty_session(features: DataFrame, ranges: dict[str, tuple[float, float]])
     return features.select(
         "*", outside.alias("outside_features"), F.size("outside_features").alias("outside_count"),
         (F.col("outside_count") >= threshold).alias("novel"),
-        F.when(F.col("novel"), "OUTSIDE TRAINING RANGE").otherwise("within training range").alias("novelty_verdict"))
+        F.when(F.col("novel"), "OUTSIDE TRAINING RANGE").otherwise("within training range").alias("novelty_verdict"),
+        _novelty_sentence(len(compared)).alias("novelty_note"))
+
+
+def _novelty_sentence(compared: int) -> Column:
+    listed = F.concat(F.array_join(F.slice("outside_features", 1, 6), ", "),
+                      F.when(F.col("outside_count") > 6, F.concat(F.lit(" (+"), F.col("outside_count") - 6, F.lit(" more)"))).otherwise(""))
+    novel = F.concat(F.col("outside_count"), F.lit(f" of {compared} features are outside the training range: "), listed,
+                     F.lit(". The ML class is not validated for this session - rely on the rule findings."))
+    return (F.when(F.col("outside_count") == 0, ALL_INSIDE).when(F.col("novel"), novel)
+            .otherwise(F.concat(F.lit("Features slightly outside the training range: "), listed, F.lit("."))))
 
 
 def novelty_capture(checked: DataFrame) -> DataFrame:
-    """Per capture: features outside anywhere, novel sessions, verdict and note."""
-    flags = [F.coalesce(F.bool_or(F.array_contains("outside_features", n)), F.lit(False)).alias(f"out_{n}") for n in FEATURES]
+    """Per capture: features outside anywhere in the order sessions show them, novel sessions, verdict and note."""
+    place = F.struct(F.coalesce("first_frame", F.lit(0)), "session_id")
+    flags = [F.min(F.when(F.array_contains("outside_features", n), place)).alias(f"out_{n}") for n in FEATURES]
     totals = checked.groupBy("capture").agg(
         F.count(F.lit(1)).alias("sessions"), F.count_if("novel").alias("novel_sessions"), *flags)
-    outside = F.array_compact(F.array(*[F.when(F.col(f"out_{n}"), F.lit(n)) for n in FEATURES]))
+    seen = F.array_compact(F.array(*[
+        F.when(F.col(f"out_{n}").isNotNull(), F.struct(F.col(f"out_{n}").alias("first"), F.lit(i).alias("position"), F.lit(n).alias("name")))
+        for i, n in enumerate(FEATURES)]))
+    outside = F.transform(F.array_sort(seen), lambda s: s["name"])
     note = F.when(F.col("novel_sessions") > 0, F.concat(
         F.col("novel_sessions"), F.lit(" of "), F.col("sessions"),
         F.lit(" session(s) fall outside the training range. The rule findings still apply; "
@@ -222,9 +244,9 @@ def novelty_capture(checked: DataFrame) -> DataFrame:
                          verdict.alias("verdict"), note.alias("note"))
 
 
-def model_freshness(files: DataFrame, model_time: Column) -> DataFrame:
+def model_freshness(files: DataFrame, model_time: Column, root: str = "") -> DataFrame:
     """Is the model at least as new (one second of grace) as every training capture?"""
-    newest = files.filter(is_training_path(F.col("path"))).agg(
+    newest = files.filter(is_training_path(F.col("path"), root)).agg(
         F.max("modified_epoch").alias("newest"), F.max_by("path", "modified_epoch").alias("newest_path"))
     return newest.select("newest_path", "newest", model_time.alias("model_epoch"),
                          F.coalesce(F.col("newest") <= model_time + 1, F.lit(True)).alias("fresh"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from sealcheck.functions import fields as fx, tls
-from sealcheck.operators import certificates, discovery, features, rules, scoring, sessions
-from sealcheck.session import small_side
+from sealcheck.operators import certificates, discovery, features, rules, scoring, sessions, triage
+from sealcheck.session import materialise, small_side
 
 
 def type_packets(raw: DataFrame) -> DataFrame:
@@ -57,3 +59,43 @@ def two_pass_sessions(packets: DataFrame, **split) -> DataFrame:
     first = sessions.sessionise(discovery.mail_scope(packets), **split)
     extra = sessions.sessionise(discovery.dissect_discovered(packets, found), found, **split)
     return discovery.merge_passes(first, extra)
+
+
+@dataclass(frozen=True)
+class Analysis:
+    """Scored sessions, encrypted streams without a session, and a record per capture."""
+    sessions: DataFrame
+    leftovers: DataFrame
+    captures: DataFrame
+
+
+def analyse(packets: DataFrame, certs: DataFrame | None = None, as_of_epoch: int = 0, captures: DataFrame | None = None,
+            failures: DataFrame | None = None, predictions: DataFrame | None = None, fingerprint: str | None = None, **split) -> Analysis:
+    """A whole analysis: mail scope, both passes, certificates, rules, scores, triage class, summaries and what was left over.
+
+    ``captures`` (capture) also lists captures without a packet; ``failures`` (path, error) tells why text became none. Captures
+    without sessions have zero counts, no class, and a state, a note on leftovers or an error instead.
+    """
+    merged = two_pass_sessions(packets, **split)
+    chains = None if certs is None else certificates.chain_status(certificates.sent_certificates(packets), certs)
+    attached = certificates.attach_certificates(merged, certs, chains, as_of_epoch)
+    scored = scoring.score_sessions(rules.assess_sessions(features.session_features(attached)))
+    scored = materialise(triage.rule_fallback(scored, predictions, fingerprint))     # summaries and leftovers read it again
+    leftovers = discovery.unclassified_tls(packets, scored)
+
+    listed = packets.select("capture").distinct()
+    if captures is not None:
+        listed = listed.union(captures.select("capture")).distinct()
+    reasons = None
+    if failures is not None:
+        reasons = failures.groupBy(F.col("path").alias("capture")).agg(F.min("error").alias("reason"))
+        listed = listed.union(reasons.select("capture")).distinct()
+    state = discovery.capture_state(listed, packets, scored, leftovers).select("capture", "state", F.col("streams").alias("unclassified_streams"))
+    notes = discovery.unclassified_note(leftovers).select("capture", F.col("note").alias("unclassified_note"))
+    records = scoring.batch_record(scored)
+    rows = state.join(records, "capture", "left").join(notes, "capture", "left")
+    rows = rows.join(reasons, "capture", "left") if reasons is not None else rows.withColumn("reason", F.lit(None).cast("string"))
+    counts = [c for c, kind in records.dtypes if kind == "bigint"]
+    ok = F.col("state") != "UNREADABLE"
+    rows = rows.na.fill(0, counts).withColumns({"ok": ok, "error": F.when(~ok, F.coalesce("reason", F.lit(""))).otherwise("")})
+    return Analysis(scored, leftovers, rows.drop("reason"))

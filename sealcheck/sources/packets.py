@@ -6,9 +6,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sealcheck.schemas import PACKET_FIELDS_SCHEMA
+from sealcheck.tables import UNREADABLE_PACKET
 
 PRETTY_SEPARATOR = "\n  },"
 READ_RUN = 1_000_000
@@ -41,6 +42,11 @@ def _packet_fields(text: str) -> list | None:
     return found
 
 
+def capture_name(capture: Column) -> Column:
+    """Label of a capture: the last part of its path, which is the key."""
+    return F.element_at(F.split(capture, "/"), -1)
+
+
 def flatten_packets(documents: DataFrame) -> DataFrame:
     """(capture, packet_no, json) to PACKET_FIELDS_SCHEMA; the only Python on the packet path."""
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,13 +67,13 @@ def number_packets(lines: DataFrame) -> DataFrame:
 
 
 def read_packet_text(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """(capture, packet_no, json) from exported JSON.
+    """(capture, packet_no, json) from exported JSON. The capture is the full path: files of one name stay apart.
 
     ``lines``: one packet per line. ``pretty``: the dissector's indented array, split where a
     packet object closes; both split large files. ``document``: any other JSON array, or an
     object with ``packets``, parsed per file.
     """
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    name = F.col("_metadata.file_path")
     if layout == "document":
         whole = spark.read.text(path, wholetext=True).select(name.alias("capture"), "value")
         items = F.coalesce(
@@ -87,8 +93,21 @@ def read_packet_text(spark: SparkSession, path: str, layout: str = "lines") -> D
     return number_packets(kept).select("capture", "packet_no", F.col("value").alias("json"))
 
 
+def split_unreadable(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(packets, failures as captures.split_failures names them): text that is no packet object becomes no packet."""
+    failed = F.col("fields").isNull()
+    return flat.filter(~failed), flat.filter(failed).select(
+        F.col("capture").alias("path"), "packet_no", F.lit(UNREADABLE_PACKET).alias("error"))
+
+
 def read_packets(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    return flatten_packets(read_packet_text(spark, path, layout))
+    """The readable packets; ``read_failures`` lists the rest."""
+    return split_unreadable(flatten_packets(read_packet_text(spark, path, layout)))[0]
+
+
+def read_failures(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """(path, packet_no, error) of the text that is no packet."""
+    return split_unreadable(flatten_packets(read_packet_text(spark, path, layout)))[1]
 
 
 def read_packet_columns(spark: SparkSession, path: str, columns: list[str], multi: tuple[str, ...] = ()) -> DataFrame:

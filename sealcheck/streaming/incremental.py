@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.sources.packets import flatten_packets, number_packets
+from sealcheck.sources.packets import flatten_packets, number_packets, split_unreadable
 
 
 def new_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Streaming lines of packet exports with one packet per line; a batch holds whole files."""
     lines = spark.readStream.schema("value string").format("text").load(folder)
     return lines.filter(F.col("value").contains("{")).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("capture"),
+        F.col("_metadata.file_path").alias("capture"),
         F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("json"))
 
 
@@ -19,7 +19,7 @@ def run_pending(spark: SparkSession, folder: str, checkpoint: str, handle) -> No
     """Process what arrived since the last run, then stop. ``handle(packets, batch_id)``."""
     def numbered(lines: DataFrame, batch_id: int) -> None:
         placed = number_packets(lines.withColumn("line_no", F.monotonically_increasing_id()))
-        handle(flatten_packets(placed.select("capture", "packet_no", "json")), batch_id)
+        handle(split_unreadable(flatten_packets(placed.select("capture", "packet_no", "json")))[0], batch_id)
 
     query = (new_lines(spark, folder).writeStream.foreachBatch(numbered)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

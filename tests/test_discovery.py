@@ -65,3 +65,22 @@ def test_leftover_stream_is_described_not_named(spark):
     captures = spark.createDataFrame([("capture",), ("empty",)], "capture string")
     states = discovery.capture_state(captures, typed(spark, packets), none, streams)
     assert {r["capture"]: r["state"] for r in states.collect()} == {"capture": "UNCLASSIFIED", "empty": "UNREADABLE"}
+
+
+def test_whole_analysis_has_a_row_for_every_capture(spark):
+    hexed = lambda t: {"tcp.payload": t.encode().hex()}
+    unusual = [packet(1, 8143, 5001, stream="1"), packet(2, 5001, 8143, stream="1"), packet(3, CLIENT, 443, stream="2", **HELLO)]
+    unusual[0]["_source"]["layers"]["tcp"].update(hexed("* OK [CAPABILITY IMAP4rev1] ready"))
+    unusual[1]["_source"]["layers"]["tcp"].update(hexed("A001 LOGIN alice secret"))
+    packets = typed(spark, unusual, "mail").unionByName(typed(spark, [packet(1, CLIENT, 443, stream="4", **HELLO)], "web")) \
+        .unionByName(typed(spark, [packet(1, CLIENT, 80)], "plain"))
+    captures = spark.createDataFrame([("empty",)], "capture string")
+    failures = spark.createDataFrame([("broken", "no packets")], "path string, error string")
+    done = posture.analyse(packets, captures=captures, failures=failures)
+    rows = {r["capture"]: r for r in done.captures.collect()}
+    assert {k: (r["state"], r["ok"], r["total_sessions"]) for k, r in rows.items()} == {
+        "mail": ("SCORED", True, 1), "web": ("UNCLASSIFIED", True, 0), "plain": ("NO_SESSIONS", True, 0),
+        "empty": ("UNREADABLE", False, 0), "broken": ("UNREADABLE", False, 0)}
+    assert rows["broken"]["error"] == "no packets" and "443" in rows["web"]["unclassified_note"] and rows["mail"]["unclassified_streams"] == 1
+    session = done.sessions.first()
+    assert session["protocol"] == "IMAP" and session["policy_risk_class"] == session["ml_class"] == "CRITICAL"

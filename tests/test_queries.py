@@ -21,7 +21,7 @@ def test_every_statement_has_a_query():
     queries, statements = set(entry.queries()), set(entry.oracle_sql())
     assert statements <= queries
     own = {name for name in queries - statements if not name.startswith("op") and name != "pipeline"}
-    assert own == {"M4_fit_risk", "M5_score_risk", "M6_fit_anomaly", "M7_score_anomaly", "M11_leave_one_capture_out", "M12_transfer_test"}
+    assert own == {"M4_fit_risk", "M5_score_risk", "M6_fit_anomaly", "M7_score_anomaly", "M11_leave_one_capture_out", "M12_transfer_test", "P1_analyse"}
 
 
 def test_models(spark, small_dir):

@@ -88,4 +88,18 @@ def test_each_file_is_processed_once(spark, tmp_path):
     for name in ("one.json", "two.json"):
         (source / name).write_text("\n".join(json.dumps(p) for p in PACKETS))
         incremental.run_pending(spark, str(source), str(tmp_path / "state"), handle)
-    assert sorted(seen) == ["one.json"] * len(PACKETS) + ["two.json"] * len(PACKETS)
+    assert sorted(c.split("/")[-1] for c in seen) == ["one.json"] * len(PACKETS) + ["two.json"] * len(PACKETS)
+
+
+def test_files_of_one_name_stay_apart_and_broken_lines_are_failures(spark, tmp_path):
+    for folder, port in (("a", 25), ("b", 143)):
+        (tmp_path / folder).mkdir()
+        lines = [json.dumps(p) for p in dialogue(port, GREETING, ASKS)]
+        (tmp_path / folder / "cap.json").write_text("\n".join([lines[0], "{broken", lines[1]]))
+    path = f"{tmp_path}/*"
+    rows = packets.read_packets(spark, path)
+    assert sorted((r["capture"].split("/")[-2], r["packet_no"]) for r in rows.collect()) == [("a", 1), ("a", 3), ("b", 1), ("b", 3)]
+    assert {r["n"] for r in rows.select(packets.capture_name(F.col("capture")).alias("n")).collect()} == {"cap.json"}
+    assert sorted((r["path"].split("/")[-2], r["packet_no"]) for r in packets.read_failures(spark, path).collect()) == [("a", 2), ("b", 2)]
+    found = posture.scored_sessions(posture.type_packets(rows)).select("server_port", "packet_count").collect()
+    assert sorted(map(tuple, found)) == [(25, 2), (143, 2)]
