@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -27,18 +28,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet in the shared folder and read it back: cuts the lineage and prunes columns later.
-
-    The table is the only thing later plans read, so the shuffles behind it are given up at once.
-    """
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Queries made inside give up their shuffles when they end; what they leave behind are staged tables."""
     before = spark.conf.get(_TIDY, "false")
     spark.conf.set(_TIDY, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_TIDY, before)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write once as Parquet in the shared folder and read it back: cuts the lineage and prunes columns later."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

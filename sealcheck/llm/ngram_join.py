@@ -185,9 +185,15 @@ def components(links: DataFrame) -> DataFrame:
 def join_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, frequent_above: int = FREQUENT,
                    rounds: int = ROUNDS, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
+    with common.tidy_shuffles(docs.sparkSession):
+        return _joined(docs, id_column, text, percent, frequent_above, rounds, broadcast_tokens)
+
+
+def _joined(docs: DataFrame, id_column: str, text: str, percent: int, frequent_above: int, rounds: int, broadcast_tokens: int) -> DataFrame:
     facts = common.stage(set_facts(docs, id_column, text, percent, frequent_above, broadcast_tokens), "facts")
     classes = common.stage(facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = facts.join(classes.where("rep IS NOT NULL"), ["n", "d1", "d2"]).where("doc_id = rep")
+    # by id and digest: all rows of a large class share the digest, but one alone has the id
+    reps = facts.withColumn("rep", F.col("doc_id")).join(classes, ["rep", "n", "d1", "d2"]).drop("doc_id")
     indexed = reps.select("rep", "n", F.explode("sigs").alias("sig"))
     leaders = indexed.groupBy("sig").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n")).alias("lead")).where("held > 1")
     live = common.stage(indexed.join(leaders, "sig").select("sig", "rep", "n", "lead"), "live")

@@ -3,7 +3,7 @@
 Texts are encoded, closed by an end id and cut at the capacity only where they are longer. Pieces are dealt by a hash into groups
 of bounded size. In a group best-fit-decreasing gives the incumbent; where it misses the lower bound, branch and bound fills one
 sequence after another around the largest piece left, tries the undominated fillings with the least waste first, and gives up a
-branch when the waste so far leaves no room to beat the incumbent. The search ends at the bound or after ``nodes`` fillings, so
+branch when the waste so far leaves no room to beat the incumbent. The search ends at the bound or after a number of fillings that grows with the group, so
 a packing is never worse than best fit. Groups are independent: at most one sequence per group is lost against one large packing.
 
 Null and empty texts are the end id alone. Rows without an id, with the same id or with the same text are packed row by row.
@@ -23,8 +23,8 @@ from sealcheck.llm import common, textscan
 from sealcheck.llm.unitmemo import UnitMemo
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces of a group on average, and fillings tried in a group.
-GROUP_PIECES, NODES = 20_000, 4_000
+#: Pieces of a group on average; fillings tried in a group, and more for each of its sequences.
+GROUP_PIECES, NODES, NODES_PER_SEQUENCE = 20_000, 4_000, 4
 CHUNK_BYTES = 2 << 20
 
 
@@ -208,8 +208,9 @@ def _place(sizes: list[int], value: int) -> int:
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece of one group."""
     bins = best_fit(lengths, capacity)
-    while nodes > 0:
-        better = complete_bins(lengths, capacity, len(bins), nodes)
+    budget = nodes + NODES_PER_SEQUENCE * len(bins)
+    while True:
+        better = complete_bins(lengths, capacity, len(bins), budget)
         if better is None:
             break
         by_size: dict[int, list[int]] = {}

@@ -28,7 +28,7 @@ IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PHONE = r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|(?<![0-9])[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+PHONE = r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9])|(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|(?<![0-9])[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 PATTERN = "|".join([EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, CARD])
 KINDS = ["email", "secret", "iban", "ip", "date", "ssn", "phone", "card"]
 
@@ -212,7 +212,7 @@ def kind_of(m: Column) -> Column:
             .when(m.rlike(whole["date"]), F.when(_date_of(m).isNotNull(), "date"))
             .when(m.rlike(whole["ip"]), F.when(bytes_ok, "ip"))
             .when(m.rlike(whole["ssn"]), F.when(_ssn_valid(m), "ssn"))
-            .when(m.rlike(whole["phone"]), "phone")
+            .when(m.rlike(whole["phone"]), F.when(F.length(_digits(m)).between(7, 15), "phone"))
             .when(m.rlike(whole["card"]), F.when(luhn_sum(_digits(m), 1) % 10 == 0, "card"))
             .when(m.rlike(whole["secret"]), "secret")
             .when(m.rlike(whole["iban"]), F.when(_iban_valid(m), "iban")))

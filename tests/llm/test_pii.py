@@ -7,7 +7,7 @@ from sealcheck.llm import pii
 
 CASES = {
     "card 4111 1111 1111 1111 and 4111-1111-1111-1111": ["card", "card"], "bad card 4111111111111112": [],
-    "+1 (499) 555-6503%%%": ["phone"], "that.92@mail2.example.com### x": ["email"],
+    "+1 (499) 555-6503%%%": ["phone"], "+49 30 123 4567 or (555) 123-4567": ["phone", "phone"], "that.92@mail2.example.com### x": ["email"],
     "240.56.125.154 and 64.147.79.24. not 300.1.1.1": ["ip", "ip"], "2024-02-29 29.02.2024 not 2023-02-29": ["date", "date"],
     "DE89 3704 0044 0532 0130 00 not DE88370400440532013000": ["iban"], "123-45-6789 not 000-12-3456": ["ssn"],
     'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"': ["secret"], "9" * 500: [], "plain 12 words": []}
