@@ -95,7 +95,7 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
             index = []
             for page_id, link, payload, digest, refers in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 if out is None:
-                    out = system.open_output_stream(f"{path}/{name}")
+                    out = system.open_output_stream(f"{path}/{name}", compression=None)
                 record = record_bytes(page_id, link, payload.encode(), digest, refers)
                 out.write(record)
                 index.append((page_id, link, digest, name, at, len(record)))
