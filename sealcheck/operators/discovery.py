@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sealcheck.functions import mailtext as mt, tls
 from sealcheck.functions.fields import port_protocol
-from sealcheck.session import small_side
+from sealcheck.session import materialise, small_side
 from sealcheck.tables import MAIL_PORTS, MAIL_VOCABULARY, MIN_VOCABULARY_SCORE
 
 KNOWN = tuple(MAIL_PORTS)
@@ -79,7 +79,7 @@ def discovered_ports(packets: DataFrame) -> DataFrame:
     Ports whose greeting agrees with the vocabulary win; without any, a greeting from a
     standard port rules the capture out; otherwise every hint counts.
     """
-    candidates = payload_prefilter(packets)
+    candidates = materialise(payload_prefilter(packets))     # packets with a mail word, decoded once, read for scores and greetings
     hints, greetings = port_hints(candidates).drop("score"), first_greeting(candidates)
     agreed = hints.join(greetings.withColumn("greeted", F.lit(True)), ["capture", "port", "protocol"], "left")
     per_capture = agreed.groupBy("capture").agg(F.coalesce(F.bool_or("greeted"), F.lit(False)).alias("any_greeted"))

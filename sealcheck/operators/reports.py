@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sealcheck.operators.scoring import severity_order
+from sealcheck.session import materialise
 from sealcheck.tables import SEVERITIES
 
 HEAVY = ("sessions", "findings", "recommendations")
@@ -29,12 +30,12 @@ def current_version_only(analyses: DataFrame, version: str) -> DataFrame:
 
 def newest_per_capture(analyses: DataFrame, version: str, match: str = "", limit: int = 0) -> DataFrame:
     """Newest analysis per file name, name filter, optional limit; newest first."""
-    columns = analyses.columns
-    place = F.struct("created_at", "analysis_id")
-    newest = (analyses.filter(F.col("analyzer_version") == version)
-              .groupBy("source_filename").agg(F.max_by(F.struct(*columns), place).alias("newest")).select("newest.*"))
+    wanted = analyses.filter(F.col("analyzer_version") == version)
     if match:
-        newest = newest.filter(F.lower("source_filename").contains(match.lower()))
+        wanted = wanted.filter(F.lower("source_filename").contains(match.lower()))
+    # ids first: the documents themselves take no part in the aggregate
+    ids = wanted.groupBy("source_filename").agg(F.max(F.struct("created_at", "analysis_id")).alias("newest"))
+    newest = wanted.join(ids.select(F.col("newest.analysis_id").alias("analysis_id")), "analysis_id", "left_semi").select(*analyses.columns)
     newest = newest.orderBy(F.desc("created_at"))
     return newest.limit(limit) if limit else newest
 
@@ -54,12 +55,14 @@ def total_size(selected: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ one report
 def ranked_sessions(scored: DataFrame, limit: int = 200) -> DataFrame:
     """Highest-risk sessions with the number of sessions not shown."""
+    scored = materialise(scored)        # counted and ranked
     total = scored.agg(F.count(F.lit(1)).alias("total"))
     top = scored.orderBy(F.desc("policy_risk_score"), "capture", F.coalesce("first_frame", F.lit(0)), "session_id").limit(limit)
     return top.join(F.broadcast(total)).withColumn("not_shown", F.greatest(F.col("total") - limit, F.lit(0)))   # one row
 
 
 def top_findings_report(flat: DataFrame, limit: int = 40) -> DataFrame:
+    flat = materialise(flat)        # counted and listed
     total = flat.agg(F.count(F.lit(1)).alias("total"))
     return flat.limit(limit).join(F.broadcast(total))      # one row
 
