@@ -30,6 +30,8 @@ PERCENT = 80
 FREQUENT = 16
 #: Frequent tokens that are broadcast at most (8 bytes each); beyond it they are joined.
 BROADCAST_TOKENS = 1 << 20
+#: Pairs whose ids (twice 8 bytes each) are broadcast at most.
+BROADCAST_PAIRS = 500_000
 #: Looks at a leader before members of different components are compared.
 ROUNDS = 2
 BITMAP_LONGS = 16
@@ -157,7 +159,12 @@ def verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int)
     near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_size_fits(F.col("n_a"), F.col("n_b"), percent))
     # overlap <= (n_a + n_b - differ) / 2, and a link needs overlap * (100 + percent) >= percent * (n_a + n_b)
     near = near.where((F.col("n_a") + F.col("n_b") - differ) * (100 + percent) >= 2 * percent * (F.col("n_a") + F.col("n_b")))
-    both = (near.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+    # few pairs pass the bound: only their sets are dealt out, by a list of ids of a counted size or else by a merge join
+    near = common.stage(near.select("a", "b"), "near")
+    ids = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
+    few = near.count() <= BROADCAST_PAIRS
+    sets = sets.join(F.broadcast(ids) if few else ids.hint("merge"), "rep", "left_semi")
+    both = (near.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a")
             .join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b"))
     both = both.select("a", "b", (F.size("tokens_a") + F.size("tokens_b")).alias("total"),
                        F.size(F.array_intersect("tokens_a", "tokens_b")).alias("shared"))
