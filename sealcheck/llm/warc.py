@@ -57,8 +57,7 @@ def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: s
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{RECORD_ID}{refers_to}>"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     record = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(record) + packer.flush()
+    return zlib.compress(record, 6, 31)
 
 
 def parse_record(record: bytes) -> dict[str, str | bytes | int | None]:
