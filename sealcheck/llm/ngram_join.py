@@ -3,8 +3,9 @@
 A document is the set of its distinct five-word shingles (tokens). Two sets link when their Jaccard similarity is at least
 ``percent`` / 100. Equal sets are one class, so copies never form pairs. The filter is exact:
 
-* Tokens seen in more than ``FREQUENT`` of the documents' lowest-hash tokens are the frequent class. Every set is ordered rare tokens
-  first, frequent tokens last, by hash inside; any global order is right, this one keeps common passages out of the prefixes.
+* Tokens of more than ``FREQUENT`` documents are the frequent class. Every set is ordered rare tokens first, frequent tokens
+  last, by hash inside; any global order is right, this one keeps common passages out of the prefixes, and a rare token meets
+  at most ``FREQUENT`` documents.
 * Two linked sets share a token among their first p = n - ceil(t n) + 1 tokens. A shared rare token is indexed by itself.
 * Sets whose prefix reaches into the frequent tokens extend it by m: linked sets share m + 1 tokens there. Frequent tokens
   are dealt into m subclasses, so one subclass holds two shared ones: all two-token combinations within a subclass are indexed.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sealcheck.llm import common, textscan
 
 PERCENT = 80
-#: A token counted more often than this is frequent.
+#: A token of more documents than this is frequent.
 FREQUENT = 16
 #: Frequent tokens that are broadcast at most (8 bytes each); beyond it they are joined.
 BROADCAST_TOKENS = 1 << 20
@@ -96,11 +97,10 @@ def _facts(sets: list[np.ndarray], flags: list[np.ndarray], percent: int) -> dic
             "bits": [parity_bitmap(s) for s in sets], "sigs": [signatures(s, f, percent).view(np.int64) for s, f in zip(sets, flags)]}
 
 
-def _sets(docs: DataFrame, id_column: str, text: str, head_of: int | None = None) -> DataFrame:
-    """(doc_id, tokens); with ``head_of`` only the lowest hashes, half as many again as a prefix at that percentage."""
+def _sets(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(doc_id, tokens ascending) per row."""
     def work(texts: list[bytes]) -> dict[str, list]:
-        sets = textscan.Scan(texts, lower=True).shingle_sets()
-        return {"tokens": [(s if head_of is None else s[:prefix_length(len(s), head_of) * 3 // 2] if len(s) else s).view(np.int64) for s in sets]}
+        return {"tokens": [s.view(np.int64) for s in textscan.Scan(texts, lower=True).shingle_sets()]}
 
     return (common.map_texts(docs, text, [id_column], work, [T.StructField("tokens", _LONGS)])
             .select(F.col(f"row.`{id_column}`").alias("doc_id"), F.col("out.tokens").alias("tokens")))
@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, id_column: str, text: str, head_of: int | None = None
 def set_facts(docs: DataFrame, id_column: str, text: str, percent: int, frequent_above: int, broadcast_tokens: int) -> DataFrame:
     """(doc_id, n, d1, d2, bits, sigs) per row."""
     spark = docs.sparkSession
-    counted = _sets(docs, id_column, text, head_of=percent).select(F.explode("tokens").alias("token")).groupBy("token").count()
+    counted = _sets(docs, id_column, text).select(F.explode("tokens").alias("token")).groupBy("token").count()
     frequent = common.stage(counted.where(F.col("count") > frequent_above).select("token"), "frequent")
     if frequent.count() <= broadcast_tokens:
         held = spark.sparkContext.broadcast(np.sort(frequent.toPandas()["token"].to_numpy(np.int64).view(np.uint64)))
