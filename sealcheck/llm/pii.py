@@ -3,7 +3,8 @@
 Numbers and dates are found by pattern, validated (card by its check digit, IBAN by modulo 97, address bytes below 256, area and group of
 a social security number, a day that exists between 1900 and 2099), and permuted within their format by a keyed bijection, so equal
 values have equal pseudonyms in every document and different values stay different. Separators, length, country code and check
-digits' validity are kept. Numbers that do not validate stay as they are. Mail addresses and secrets are no numbers: their
+digits' validity are kept. Numbers that do not validate stay as they are. A value ends at its own shape, so that the number beside it is
+found too; only an international number without a fixed length may take a plain number behind it, up to 15 digits. Mail addresses and secrets are no numbers: their
 local part or hex digits are replaced by keyed digests of the same length, which links equal values too.
 
 Only DataFrame functions run. A null text stays null; an empty text has nothing to replace. Rows are treated one by one, so
@@ -23,13 +24,49 @@ ROUNDS = 10
 # Fixed patterns, in the order they are tried. The classes tell them apart again in `kind_of`.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
+#: Length of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_shape(size: int, countries: str) -> str:
+    """Groups of four, the last one shorter."""
+    groups, rest = divmod(size - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{groups}}}" + (f" ?[0-9A-Z]{{{rest}}}" if rest else "")
+
+
+IBAN = r"(?<![0-9A-Za-z])(?:" + "|".join(_iban_shape(n, c) for n, c in IBAN_LENGTHS.items()) + r")(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: A card as it is printed: one group, fours, or 4-6-5, 4-6-4 and 4-3-3-3.
+CARD_SHAPE = (r"(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}(?: [0-9]{1,3})?|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}(?:-[0-9]{1,3})?"
+              r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}[ -][0-9]{3}[ -][0-9]{3}[ -][0-9]{3})(?![0-9])")
+_NATIONAL = r"(?:\([0-9]{2,4}\)|(?<![0-9])[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+_BYTE = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+_DAY = r"(?:[0-9]{4}-[01][0-9]-[0-3][0-9]|[0-3][0-9]/[0-3][0-9]/(?:19|20)[0-9]{2}|[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2})(?![0-9])"
+# Where another value begins, an international number ends; a national number is one only after enough digits for a phone.
+_OTHER = rf"(?:(?<![0-9.]){_BYTE}(?:\.{_BYTE}){{3}}(?![0-9]|\.[0-9])|{_DAY}|{SSN}|{CARD_SHAPE}|{SECRET}|{EMAIL})"
+_ONE = r"[ .-]?\(?[0-9](?:\)(?=[ .-]?[0-9]))?"
+#: Digits after the country code where all numbers of a country have the same length.
+_PLANS = {8: "45|47|65|852", 9: "31|33|34|41|48|61|351|420|971", 10: "1|7|30|44|52|90|91"}
+_FIXED = "|".join(rf"\+(?:{codes})(?:[ .-]?\(0\))?(?:(?![ .-]{_OTHER}){_ONE}){{{n}}}(?![0-9])" for n, codes in _PLANS.items())
+_MORE = r"(?:(?:[ .-](?=\(|[0-9]{2}))?\(?[0-9](?:\)(?=[ .-]?[0-9]))?)"
+_OPEN = rf"\+(?:(?![ .-]{_OTHER}){_MORE}){{7}}(?:(?![ .-](?:{_OTHER}|{_NATIONAL})){_MORE}){{0,8}}(?![0-9])"
+# shapes of a known length first, then the open one, which ends at 15 digits
+PHONE = rf"(?:(?<![0-9+])\+[0-9]{{1,3}}[ .-]?)?{_NATIONAL}|{_FIXED}|{_OPEN}"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PHONE = r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9])|(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|(?<![0-9])[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-PATTERN = "|".join([EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, CARD])
+# Whether a card number validates no pattern can tell, so groups of digits are matched as a run as long as it is, except a last group
+# that begins another value, and `_run_values` finds the values in it.
+_TAIL = r"(?<=[ -][0-9]{1,40})"
+RUN = (rf"(?<![0-9])[0-9](?=[0-9 -]{{12}})[0-9 -]*[0-9](?![0-9])(?!(?<=[ -][0-9]{{1,3}})(?:\.[0-9]{{1,3}}){{3}}(?![0-9]|\.[0-9]))"
+       rf"(?!(?<=[ -][0-9]{{2}})(?:/[0-9]{{2}}/|\.[0-9]{{2}}\.)[0-9]{{4}}(?![0-9]))"
+       rf"(?!(?<=[ -][0-9]{{3}})\.[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9]))(?!(?<=[ -][0-9]{{3}}[ -][0-9]{{3}})\.[0-9]{{4}}(?![0-9]))"
+       rf"(?!{_TAIL}[A-Za-z._%+-][A-Za-z0-9._%+-]{{0,63}}@|{_TAIL}@)(?!{_TAIL}[a-fA-F][0-9a-fA-F]{{15,127}}(?![0-9A-Za-z]))")
+PATTERN = "|".join([EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, RUN])
 KINDS = ["email", "secret", "iban", "ip", "date", "ssn", "phone", "card"]
 
 
@@ -225,17 +262,72 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
             .when(kind == "secret", _secret_pseudonym(key, m)).when(kind == "iban", _iban_pseudonym(key, m)).otherwise(m))
 
 
+def _run_values(m: Column) -> Column:
+    """The values of a run of digit groups and the text between them, in order, as structs (m, kind).
+
+    From each group the shapes of four, three, one and five groups are tried, the first that validates is a value. Where a value may
+    be grouped in any way, at the start of the run and behind a value, the longest card number is tried after these.
+    """
+    ends = r"[ -]+$"
+    shape = f"^(?:{DATE}|{SSN}|{_NATIONAL}|{SECRET}|{CARD_SHAPE})$"
+
+    def with_groups(groups: Column) -> Column:
+        def joined(first: Column, n: Column | int) -> Column:
+            return F.array_join(F.slice(groups, first + 1, n), "")
+
+        def shaped(i: Column) -> Column:
+            tries = F.transform(F.array(*[F.lit(n) for n in (4, 3, 1, 5)]), lambda n: F.struct(n.alias("n"), F.regexp_replace(joined(i, n), ends, "").alias("m")))
+            tries = F.filter(tries, lambda t: (i + t["n"] <= F.size(groups)) & t["m"].rlike(shape))
+            kinds = F.transform(tries, lambda t: F.struct(t["n"].alias("n"), kind_of(t["m"]).alias("kind")))
+            return F.get(F.filter(kinds, lambda t: t["kind"].isNotNull()), F.lit(0))
+
+        def longest(i: Column) -> Column:
+            card = F.regexp_extract(joined(i, 19), "^" + CARD, 0)
+            valid = (card != "") & (luhn_sum(_digits(card), 1) % 10 == 0)
+            return F.when(valid, F.struct(F.size(F.split(card, "[ -]")).alias("n"), F.lit("card").alias("kind")))
+
+        def step(state: Column, i: Column) -> Column:
+            hit = F.when(i >= state["next"], F.coalesce(shaped(i), F.when(i == state["next"], longest(i))))
+            return F.transform(F.array(hit), lambda h: F.when(h.isNull(), state).otherwise(F.struct(
+                (i + h["n"]).alias("next"), F.concat(state["hits"], F.array(F.struct(i.alias("i"), h["n"].alias("n"), h["kind"].alias("kind")))).alias("hits"))))[0]
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,n:int,kind:string>>").alias("hits"))
+        hits = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: F.concat(
+            s["hits"], F.array(F.struct(F.size(groups).alias("i"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("kind")))))
+
+        def pieces(hits: Column) -> Column:
+            def piece(h: Column, k: Column) -> Column:
+                before = F.when(k > 0, F.get(hits, k - 1)["i"] + F.get(hits, k - 1)["n"]).otherwise(0)
+                text = joined(h["i"], h["n"])
+                none = F.lit(None).cast("string")
+                return F.array(F.struct(joined(before, h["i"] - before).alias("m"), none.alias("kind")),
+                               F.struct(F.regexp_replace(text, ends, "").alias("m"), h["kind"].alias("kind")),
+                               F.struct(F.regexp_extract(text, ends, 0).alias("m"), none.alias("kind")))
+            return F.flatten(F.transform(hits, piece))
+
+        return F.transform(F.array(hits), pieces)[0]
+
+    return F.transform(F.array(F.regexp_extract_all(m, F.lit("[0-9]+[ -]*"), F.lit(0))), with_groups)[0]
+
+
+def values_of(m: Column) -> Column:
+    """A match as structs (m, kind): itself, or the values of a run of digit groups."""
+    whole = F.transform(F.array(kind_of(m)), lambda kind: F.when(
+        m.rlike("^[0-9][0-9 -]*[0-9]$") & (kind.isNull() | (kind == "card")), _run_values(m)).otherwise(F.array(F.struct(m.alias("m"), kind.alias("kind")))))
+    return whole[0]
+
+
 def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Columns ``row`` (struct of all columns of ``docs``) and ``out`` (text with pseudonyms, found: kinds in order)."""
     pattern = F.lit(PATTERN)
     # every pattern needs three digits in a row, a digit group with a separator, an @, or hex digits: a cheap first look
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("_text"))
     rows = rows.select("row", "_text", F.when(F.col("_text").rlike("[0-9@]"), F.regexp_extract_all("_text", pattern, F.lit(0))).alias("_found"))
-    rows = rows.select("row", "_text", F.transform("_found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))).alias("_found"))
-    rows = rows.select("row", "_text", "_found", F.transform("_found", lambda x: pseudonym(key, x["kind"], x["m"])).alias("_new"),
+    rows = rows.select("row", "_text", F.transform("_found", values_of).alias("_found"))
+    rows = rows.select("row", "_text", "_found", F.transform("_found", lambda v: F.array_join(F.transform(v, lambda x: pseudonym(key, x["kind"], x["m"])), "")).alias("_new"),
                        F.when(F.size("_found") > 0, F.split("_text", PATTERN, -1)).alias("_parts"))
     joined = F.array_join(F.transform(F.arrays_zip("_parts", "_new"), lambda p: F.concat(F.coalesce(p["_parts"], F.lit("")), F.coalesce(p["_new"], F.lit("")))), "")
-    found = F.filter(F.transform(F.coalesce(F.col("_found"), F.array().cast("array<struct<m:string,kind:string>>")), lambda x: x["kind"]), lambda k: k.isNotNull())
+    found = F.filter(F.transform(F.flatten(F.coalesce(F.col("_found"), F.array().cast("array<array<struct<m:string,kind:string>>>"))), lambda x: x["kind"]), lambda k: k.isNotNull())
     return rows.select("row", F.struct(F.when(F.col("_parts").isNull(), F.col("_text")).otherwise(joined).alias("text"), found.alias("found")).alias("out"))
 
 

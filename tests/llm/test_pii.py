@@ -39,6 +39,27 @@ def test_pseudonyms_stay_valid_linked_and_keyed(spark):
     assert luhn(again[0])
 
 
+BESIDE = {
+    "+1 (826) 555-4081 190.137.223.204": ["phone", "ip"], "+44 20 7946 0958 190.137.223.204": ["phone", "ip"], "+49 30 1234567 2024-02-29": ["phone", "date"],
+    "+49 30 1234567 4111 1111 1111 1111": ["phone", "card"], "+44 20 7946 0958 826 555-4081": ["phone", "phone"],
+    "4111 1111 1111 1111 123": ["card"], "12 4111 1111 1111 1111": ["card"], "2024 4111 1111 1111 1111": ["card"], "4111 1111 1111 1111 378282246310005": ["card", "card"],
+    "4111 1111 1111 1111 190.137.223.204": ["card", "ip"], "4111111111111111 2024-02-29 123-45-6789": ["card", "date", "ssn"],
+    "4111 1111 1111 1111 826 555-4081": ["card", "phone"], "4111 1111 1111 1111 826.555.4081": ["card", "phone"], "4111 1111 1111 1111 29.02.2024": ["card", "date"],
+    "DE89 3704 0044 0532 0130 00 AB1": ["iban"], "DE89 3704 0044 0532 0130 00 4111 1111 1111 1111": ["iban", "card"], "4111 1111 1111 1111 7.bob@example.com": ["card", "email"]}
+
+
+def test_two_values_side_by_side(spark):
+    for (text, kinds), (new, found) in zip(BESIDE.items(), masked(spark, list(BESIDE))):
+        assert found == kinds, text
+        assert "1111 1111" not in new and "4081" not in new and "223" not in new, new
+    (one, _), (two, _), *_ = masked(spark, ["+1 (826) 555-4081", "+1 (826) 555-4081 190"])
+    assert two == one + " 190"
+    (card, _), (beside, _), *_ = masked(spark, ["4111 1111 1111 1111", "12 4111 1111 1111 1111 123"])
+    assert beside == f"12 {card} 123"
+    numbers = "4 12 " * 1000
+    assert masked(spark, [numbers + "4111 1111 1111 1111"])[0][0] == numbers + card
+
+
 def test_network_is_a_bijection(spark):
     pairs = spark.range(17 * 30).select((F.col("id") / 30).cast("long").alias("a"), (F.col("id") % 30).alias("b"))
     out = pairs.select(pii.feistel("k", "t", F.col("a"), F.col("b"), F.lit(17), F.lit(30)).alias("p")).select("p.*")
