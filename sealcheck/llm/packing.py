@@ -3,7 +3,7 @@
 Texts are encoded, closed by an end id and cut at the capacity only where they are longer. Pieces are dealt by a hash into groups
 of bounded size. In a group best-fit-decreasing gives the incumbent; where it misses the lower bound, branch and bound fills one
 sequence after another around the largest piece left, tries the undominated fillings with the least waste first, and gives up a
-branch when the waste so far leaves no room to beat the incumbent. The search ends at the bound or after a number of fillings that grows with the group, so
+branch when the waste so far leaves no room to beat the incumbent. The search ends at the bound, when all fillings are tried, or after a number of fillings that grows with the group, so
 a packing is never worse than best fit. Groups are independent: at most one sequence per group is lost against one large packing.
 
 Null and empty texts are the end id alone. Rows without an id, with the same id or with the same text are packed row by row.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from sealcheck.llm.unitmemo import UnitMemo
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a group on average; fillings tried in a group, and more for each of its sequences.
 GROUP_PIECES, NODES, NODES_PER_SEQUENCE = 20_000, 4_000, 4
+#: Steps towards the next filling that count as one filling tried.
+STEPS = 1024
 CHUNK_BYTES = 2 << 20
 
 
@@ -89,46 +92,87 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], left: Counter, room: int, most: int = 24) -> list[tuple[int, ...]]:
-    """Undominated sets of up to three pieces for ``room``, least waste first. ``sizes`` lists the sizes left, descending.
+def fillings(sizes: list[int], left: Counter, head: int, room: int, slack: int, shared: dict) -> Iterator[tuple[int, ...] | None]:
+    """All undominated sets of pieces for the ``room`` beside ``head`` that waste at most ``slack``, least waste first, made as they are asked for.
 
-    Of two sets with equally many pieces where each piece of one is at least the other's, the larger one dominates; a set that
-    another piece could still join is dominated as well, so only sets that leave no room for the next piece are listed, and for
-    given first pieces the last one is the largest that fits.
+    ``sizes`` lists the sizes left, descending; both they and ``left`` may change in between but are as they were at each call. A set
+    is dominated where a piece left could still join it or take the place of a smaller one: the larger set wastes less, so it came
+    before. Sums that the smaller sizes can reach are bits of a number, so no branch is entered that ends without a set. None stands
+    for STEPS steps without one. ``shared`` keeps the sums of the search's latest level, others make them anew.
     """
-    def largest(most_size: int, start: int) -> int:
-        lo, hi = start, len(sizes)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if sizes[mid] > most_size:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
-
-    found: set[tuple[int, ...]] = set()
-    first = largest(room, 0)
-    if first == len(sizes):
-        return [()]
-    found.add((sizes[first],))
-    for i in range(first, min(len(sizes), first + most)):
-        a = sizes[i]
-        j = largest(room - a, i)
-        if j < len(sizes) and sizes[j] == a and left[a] < 2:
-            j += 1
-        if j == len(sizes):
-            found.add((a,))
-            continue
-        b = sizes[j]
-        found.add((a, b))
-        k = largest(room - a - b, j)
-        if k < len(sizes) and left[sizes[k]] > (sizes[k] == a) + (sizes[k] == b):
-            found.add((a, b, sizes[k]))
-    return sorted(found, key=lambda s: (room - sum(s), len(s)))
+    me, mask = object(), (1 << (room + 1)) - 1
+
+    def free(size: int) -> int:
+        return left[size] - (size == head)
+
+    def table() -> tuple[list[tuple[int, int]], list[int]]:
+        if shared.get("owner") is not me:
+            own = [(s, free(s)) for s in sizes[_place(sizes, room):] if free(s)]
+            sums = [1] * (len(own) + 1)
+            for i in range(len(own) - 1, -1, -1):
+                (size, n), bits, many = own[i], sums[i + 1], 1
+                n = min(n, room // size)
+                while n:
+                    many = min(many, n)
+                    bits |= bits << (size * many)
+                    n, many = n - many, many * 2
+                sums[i] = bits & mask
+            shared.update(owner=me, own=own, sums=sums)
+        return shared["own"], shared["sums"]
+
+    def dominated(chosen: list[int], waste: int) -> bool:
+        used = Counter(chosen)
+        for low in {0, *chosen}:
+            at = _place(sizes, low + waste)
+            while at < len(sizes) and sizes[at] > low:
+                if free(sizes[at]) > used[sizes[at]]:
+                    return True
+                at += 1
+        return False
+
+    # one piece or two that fill the room need no sums
+    quick = set()
+    if free(room) > 0:
+        quick.add((room,))
+        yield (room,)
+    for size in sizes[_place(sizes, room - 1):]:
+        other = room - size
+        if other > size:
+            break
+        if free(size) > 0 and free(other) > (size == other):
+            quick.add((size, other))
+            yield (size, other)
+            break
+    target, steps = room, 0
+    while target >= max(0, room - slack):
+        own, sums = table()
+        target = (sums[0] & ((1 << (target + 1)) - 1)).bit_length() - 1
+        if target < room - slack:
+            return
+        todo: list = [(0, target, None)]        # place, sum to reach, pieces so far as a linked list
+        while todo:
+            steps += 1
+            if steps % STEPS == 0:
+                yield None
+                own, sums = table()
+            i, need, pieces = todo.pop()
+            if need:
+                size, n = own[i]
+                todo += [(i + 1, need - c * size, (size, c, pieces) if c else pieces) for c in range(min(n, need // size) + 1)
+                         if sums[i + 1] >> (need - c * size) & 1]
+                continue
+            chosen: list[int] = []
+            while pieces:
+                size, c, pieces = pieces
+                chosen[:0] = [size] * c
+            if tuple(chosen) not in quick and not (target < room and dominated(chosen, room - target)):
+                yield tuple(chosen)
+                own, sums = table()
+        target -= 1
 
 
 def complete_bins(lengths: np.ndarray, capacity: int, incumbent: int, nodes: int = NODES) -> list[list[int]] | None:
-    """Sequences of sizes, fewer than ``incumbent``, or None where the search finds none within ``nodes`` fillings."""
+    """Sequences of sizes, fewer than ``incumbent``, or None where there are none or ``nodes`` fillings did not find them."""
     total, bound = int(lengths.sum()), math.ceil(int(lengths.sum()) / capacity)
     goal = incumbent - 1
     if goal < bound:
@@ -137,8 +181,8 @@ def complete_bins(lengths: np.ndarray, capacity: int, incumbent: int, nodes: int
     left = Counter(lengths.tolist())
     sizes = sorted(left, reverse=True)
     placed: list[list[int]] = []
-    stack: list[tuple[list[tuple[int, ...]], int]] = []     # fillings not tried yet, waste before this sequence
-    waste = 0
+    stack: list[tuple[Iterator[tuple[int, ...] | None], int]] = []     # fillings not tried yet, waste before this sequence
+    waste, shared = 0, {}
 
     def take(values, sign: int) -> None:
         for v in values:
@@ -149,48 +193,30 @@ def complete_bins(lengths: np.ndarray, capacity: int, incumbent: int, nodes: int
             elif sign > 0 and left[v] == 1:
                 sizes.insert(_place(sizes, v), v)
 
-    def fill(room: int) -> tuple[int, ...]:
-        """Close a sequence greedily after the enumerated pieces."""
-        more = []
-        while sizes:
-            at = _place(sizes, room)
-            if at == len(sizes):
-                break
-            more.append(sizes[at])
-            room -= sizes[at]
-            take([more[-1]], -1)
-        take(more, 1)
-        return tuple(more)
-
-    while nodes > 0:
-        if not sizes:
-            return placed
+    while sizes:
         head = sizes[0]
-        take([head], -1)
-        options = fillings(sizes, left, capacity - head)
-        take([head], 1)
-        stack.append((options[::-1], waste))
+        stack.append((fillings(sizes, left, head, capacity - head, allowed - waste, shared), waste))
         while stack:
             options, before = stack[-1]
             if len(placed) == len(stack):       # undo what this level tried last
                 take(placed.pop(), 1)
-            if not options:
+            if nodes <= 0:
+                return None
+            try:
+                chosen = next(options)
+            except StopIteration:
                 stack.pop()
                 continue
             nodes -= 1
-            head, chosen = sizes[0], options.pop()
-            take([head, *chosen], -1)
-            more = fill(capacity - head - sum(chosen))
-            take(more, -1)
-            placed.append([head, *chosen, *more])
+            if chosen is None:
+                continue
+            placed.append([sizes[0], *chosen])
+            take(placed[-1], -1)
             waste = before + capacity - sum(placed[-1])
-            if waste <= allowed:
-                break
-            if nodes <= 0:
-                return None
+            break
         if not stack:
             return None
-    return None
+    return placed
 
 
 def _place(sizes: list[int], value: int) -> int:

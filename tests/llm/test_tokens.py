@@ -82,6 +82,28 @@ def test_bin_completion_beats_best_fit():
     assert valid(lengths, sequence, offset, 1000) == -(-lengths.sum() // 1000)
 
 
+def fewest(lengths, capacity):
+    """Exact number of sequences: per set of pieces, the fewest sequences and the least use of the last one."""
+    best = [(1, 0)] + [(99, 0)] * (2 ** len(lengths) - 1)
+    for chosen in range(1, 2 ** len(lengths)):
+        for i, size in enumerate(lengths):
+            if chosen >> i & 1:
+                n, used = best[chosen ^ 1 << i]
+                best[chosen] = min(best[chosen], (n, used + size) if used + size <= capacity else (n + 1, size))
+    return best[-1][0]
+
+
+def test_search_tries_every_filling():
+    hard = np.array([500, 480, 470, 377, 333, 203, 187, 161, 153, 136])
+    sequence, offset = packing.pack_lengths(hard, 1000)
+    assert len(packing.best_fit(hard, 1000)) == 4 and valid(hard, sequence, offset, 1000) == 3
+    random = np.random.default_rng(7)
+    for _ in range(60):
+        lengths = random.integers(60, 420, 10)
+        sequence, offset = packing.pack_lengths(lengths, 600)
+        assert valid(lengths, sequence, offset, 600) == fewest(lengths.tolist(), 600), lengths
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=40))
 def test_any_packing_is_valid(values):
