@@ -696,7 +696,7 @@ def _(spark, sf):
 
 @query("M11_leave_one_capture_out")
 def _(spark, sf):
-    return triage.leave_one_capture_out(training(spark, sf), depth=6)
+    return triage.leave_one_capture_out(training(spark, sf))
 
 
 @query("M12_transfer_test")

@@ -24,6 +24,17 @@ def test_every_statement_has_a_query():
     assert own == {"M4_fit_risk", "M5_score_risk", "M6_fit_anomaly", "M7_score_anomaly", "M11_leave_one_capture_out", "M12_transfer_test", "P1_analyse"}
 
 
+def test_leave_one_capture_out_has_the_operators_depth(monkeypatch):
+    from inspect import signature
+
+    from checks import spark_queries as sq
+    operator, calls = signature(sq.triage.leave_one_capture_out), []
+    monkeypatch.setattr(sq, "training", lambda spark, sf: "rows")
+    monkeypatch.setattr(sq.triage, "leave_one_capture_out", lambda *given, **named: calls.append(operator.bind(*given, **named).arguments))
+    sq.QUERIES["M11_leave_one_capture_out"](None, "")
+    assert calls == [{"rows": "rows"}]
+
+
 def test_models(spark, small_dir):
     from checks import spark_queries as sq
     from sealcheck.operators import anomaly, triage
