@@ -2,7 +2,7 @@
 
 Every line is good or bad. Its emission score is linear in threshold tests of its own statistics and of both neighbours'; a transition
 score links neighbouring lines. Weights maximise the penalised likelihood of the labelled texts, where each line carries the
-label of its text, on at most ``SAMPLE_ROWS`` texts chosen by a hash of the id and ``SAMPLE_LINES`` neighbouring lines of each. The
+label of its text, on all lines of at most ``SAMPLE_ROWS`` texts chosen by a hash of the id. The
 forward-backward marginals of all lines of a whole text, weighted by line length, make its mean goodness; two numbers fitted on
 the same sample turn that into a score.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sealcheck.llm import common, textscan
 from sealcheck.llm.toxicity import fold, sigmoid
 
-SAMPLE_ROWS, SAMPLE_LINES = 6_000, 64
+SAMPLE_ROWS = 6_000
 CUTS, STEPS, RATE, PENALTY = 7, 120, 0.1, 2.0
 
 _SYMBOL, _UPPER, _DIGIT, _MARK, _POINT = (np.zeros(256, bool) for _ in range(5))
@@ -190,7 +190,7 @@ def _calibrate(mean: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality",
-        sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES) -> Model:
+        sample_rows: int = SAMPLE_ROWS) -> Model:
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(sample_rows)
     sample = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
@@ -200,8 +200,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         rows = []
         for i in range(len(texts)):
             own = np.flatnonzero(doc == i)
-            first = max(0, len(own) - sample_lines) // 2            # the middle lines of a long text
-            own = own[first:first + sample_lines]
             rows.append(np.column_stack([found[own], length[own]]).ravel())
         return {"lines": rows}
 

@@ -88,3 +88,18 @@ def test_folds_are_not_learned_from(spark):
     ids = spark.range(200).select(F.col("id").alias("doc_id"))
     import zlib
     assert {r[0] for r in ids.where(toxicity.fold(F.col("doc_id"), 5) == 0).collect()} == {i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def test_all_lines_of_a_labelled_text_are_fitted_on(spark, monkeypatch):
+    seen, train = [], line_crf.train
+
+    def watched(found, doc, length, label):
+        seen.append((np.bincount(doc).tolist(), length[doc == 0].tolist()))
+        return train(found, doc, length, label)
+
+    monkeypatch.setattr(line_crf, "train", watched)
+    text = "\n".join(["#### $$$$"] * 100 + ["a good line of plain words"] * 100)
+    model = line_crf.fit(odd_documents(spark, [text, "one line\nand another"]), labels(spark, [(0, 0), (1, 1)], "quality"))
+    assert seen == [([200, 2], [9.0] * 100 + [26.0] * 100)]
+    low, high = model.score([text.encode(), b"one line\nand another"])
+    assert low < high
