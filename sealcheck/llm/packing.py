@@ -41,7 +41,7 @@ def _memo(path: str) -> UnitMemo:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
 
-    return UnitMemo(encode)
+    return UnitMemo(encode, lower=True)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY,

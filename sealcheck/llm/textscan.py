@@ -2,7 +2,8 @@
 
 Texts are laid end to end as UTF-8 bytes, a line feed after each, so that one set of numpy calls serves many short texts.
 White space is ``[\\x20\\x09-\\x0D]``, which no other UTF-8 byte can equal, so bytes and code points split alike.
-Hashes are polynomial sums of a fixed random value per byte, taken from prefix sums and then mixed.
+Hashes are two polynomials modulo primes at random points (fixed, as all tasks must agree), taken from prefix sums and then mixed.
+A modulus of 2**64 would not do: there, Thue-Morse strings of equal hash exist for every point.
 """
 
 from __future__ import annotations
@@ -16,26 +17,47 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 WORDS_PER_SHINGLE = 5
 
-_random = np.random.default_rng(20240521)
-_EXACT = _random.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_LOWER = _EXACT.copy()
-_LOWER[65:91] = _EXACT[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 5
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(size: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, grown by doubling."""
-    global _powers
-    while len(_powers[0]) < size:
-        have = len(_powers[0])
-        steps = [pow(_BASE, have, 2**64), pow(pow(_BASE, -1, 2**64), have, 2**64)]
-        _powers = [np.concatenate([table, table * np.uint64(step)]) for table, step in zip(_powers, steps)]
+_SAME = np.arange(1, 257, dtype=np.uint64)
+_LOWER = _SAME.copy()
+_LOWER[65:91] = _SAME[97:123]
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Primes below 2**31 and a random point of each.
+_FIELDS = [(2**31 - 1, 1_498_046_797), (2**31 - 19, 871_953_166)]
+_powers = [[np.ones(1, np.uint32), np.ones(1, np.uint32)] for _ in _FIELDS]
+
+
+def _power_tables(size: int) -> list[list[np.ndarray]]:
+    """Per field the powers of the point and of its inverse, grown by doubling."""
+    for tables, (prime, point) in zip(_powers, _FIELDS):
+        while len(tables[0]) < size:
+            have = len(tables[0])
+            for i, base in enumerate((point, pow(point, -1, prime))):
+                more = tables[i].astype(np.uint64) * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+                tables[i] = np.concatenate([tables[i], more.astype(np.uint32)])
     return _powers
 
 
+class PrefixHash:
+    """Hashes of stretches of a sequence of symbols from 1 to below 2**31."""
+
+    def __init__(self, symbols: np.ndarray):
+        size = len(symbols)
+        self._sums = []
+        for (up, _), (prime, _) in zip(_power_tables(size + 1), _FIELDS):
+            terms = symbols.astype(np.uint64) * up[:size]
+            if size and int(symbols.max()) * prime * size >= 2**64:
+                terms %= np.uint64(prime)
+            self._sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)]))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Equal for equal stretches wherever they are."""
+        both = []
+        for sums, (_, down), (prime, _) in zip(self._sums, _powers, _FIELDS):
+            both.append((sums[end] - sums[start]) % np.uint64(prime) * down[start] % np.uint64(prime))
+        return mix((both[0] | both[1] << np.uint64(31)) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     values = values ^ (values >> np.uint64(32))
@@ -69,14 +91,14 @@ class Scan:
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, self.n) + 1
         self.doc_start = np.concatenate([[0], np.cumsum(lengths)])
-        space = _SPACE[self.data]
+        space = SPACE[self.data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
         self.doc = self.docs_of(self.start)
         self.first_word = np.searchsorted(self.doc, np.arange(self.n + 1))
-        self._sums = None
+        self._hash: PrefixHash | None = None
         self._lower = lower
 
     def docs_of(self, places: np.ndarray) -> np.ndarray:
@@ -84,12 +106,9 @@ class Scan:
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each stretch."""
-        if self._sums is None:
-            size = len(self.data)
-            self._up, self._down = _power_tables(size + 1)
-            self._sums = np.zeros(size + 1, np.uint64)
-            np.cumsum((_LOWER if self._lower else _EXACT)[self.data] * self._up[:size], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64))
+        if self._hash is None:
+            self._hash = PrefixHash((_LOWER if self._lower else _SAME)[self.data])
+        return self._hash.of(start, end)
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.start, self.end)
@@ -132,8 +151,3 @@ class Scan:
                     found = mix(total)
             sets.append(found)
         return sets
-
-
-def per_text(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``values`` by text, as 64-bit integers."""
-    return np.rint(np.bincount(owner, weights=values, minlength=n)).astype(np.int64) if len(owner) else np.zeros(n, np.int64)

@@ -11,30 +11,31 @@ MEMO_UNITS = 1_000_000
 
 
 class UnitMemo:
-    """64-bit hash of a unit to its ids. ``encode`` turns distinct units (bytes) into (ids end to end, ids per unit)."""
+    """Ids of units by 64-bit hash; a hit counts where the bytes agree too. ``encode`` turns units (bytes) into (ids end to end, ids per unit).
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = MEMO_UNITS):
+    ``lower``: units that differ in the case of A-Z are one unit, as their hashes are.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = MEMO_UNITS, lower: bool = False):
         self.encode, self.limit = encode, limit
+        self._fold = np.arange(256, dtype=np.uint8)
+        if lower:
+            self._fold[65:91] += 32
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _add(self, keys: np.ndarray, units: list[bytes]) -> None:
-        ids, sizes = self.encode(units)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used:self.used + len(ids)] = ids
-        at = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
+        self.at, self.size, self.text_at, self.text_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.text = _Pool(np.uint32), _Pool(np.uint8)
+
+    def _add(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> None:
+        ids, sizes = self.encode(_cut(data, start, end))
+        length = end - start
         place = np.searchsorted(self.keys, keys)        # both ascend
-        self.keys = np.insert(self.keys, place, keys)
-        self.at = np.insert(self.at, place, at)
-        self.size = np.insert(self.size, place, sizes)
+        at, text_at = self.ids.add(ids), self.text.add(self._fold[data[ragged(start, length)]])
+        for name, new in (("keys", keys), ("at", at + np.cumsum(sizes) - sizes), ("size", sizes), ("text_at", text_at + np.cumsum(length) - length),
+                          ("text_size", length)):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
 
     def ids_of(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units end to end, ids per unit) for the units at ``start`` to ``end`` of ``data``."""
@@ -48,12 +49,47 @@ class UnitMemo:
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == distinct[inside]
         if not known.all():
-            whole = data.tobytes()
             new = first[~known]
-            self._add(distinct[~known], [whole[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+            self._add(distinct[~known], start[new], end[new], data)
             place = np.searchsorted(self.keys, distinct)
-        at, size = self.at[place][back], self.size[place][back]
-        return self.pool[ragged(at, size)], size
+        place = place[back]
+        at, size = self.at[place], self.size[place]
+        other = self._differs(place, start, end, data)
+        if not len(other):
+            return self.ids.held[ragged(at, size)], size
+        ids, sizes = self.encode(_cut(data, start[other], end[other]))     # same hash, other bytes
+        size[other], at[other] = sizes, self.ids.used + np.cumsum(sizes) - sizes
+        return np.concatenate([self.ids.held[:self.ids.used], ids])[ragged(at, size)], size
+
+    def _differs(self, place: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Units whose bytes are not those of their entries."""
+        length = end - start
+        wrong = length != self.text_size[place]
+        same = np.flatnonzero(~wrong)
+        unequal = self._fold[data[ragged(start[same], length[same])]] != self.text.held[ragged(self.text_at[place[same]], length[same])]
+        if unequal.any():
+            wrong[same[np.searchsorted(np.cumsum(length[same]), np.flatnonzero(unequal), "right")]] = True
+        return np.flatnonzero(wrong)
+
+
+class _Pool:
+    """A growing array."""
+
+    def __init__(self, kind: type):
+        self.held, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """The place of the first value."""
+        first, self.used = self.used, self.used + len(values)
+        while self.used > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[first:self.used] = values
+        return first
+
+
+def _cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    whole = data.tobytes()
+    return [whole[a:b] for a, b in zip(start.tolist(), end.tolist())]
 
 
 def ragged(at: np.ndarray, size: np.ndarray) -> np.ndarray:
