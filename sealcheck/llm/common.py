@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -60,23 +60,23 @@ def is_not(condition: Column) -> Column:
     return ~F.coalesce(condition, F.lit(False))
 
 
-def map_texts(rows: DataFrame, text: str, keep: list[str], work: Callable[[list[bytes]], dict[str, list | np.ndarray]],
-              fields: list[T.StructField], chunk_bytes: int = textscan.CHUNK_BYTES) -> DataFrame:
+def map_texts(rows: DataFrame, text: str, keep: list[str], work: Callable[..., dict[str, list | np.ndarray]], fields: list[T.StructField],
+              chunk_bytes: int = textscan.CHUNK_BYTES, inputs: Sequence[Column] = ()) -> DataFrame:
     """Columns ``row`` (a struct of ``keep``) and ``out`` (a struct of ``fields``) for each row, in the same order.
 
-    ``work`` gets some whole texts as UTF-8 (null as empty) and returns a value per text for each field. The result sits in a
-    struct of its own, so no column of the input can clash with it.
+    ``work`` gets some whole texts as UTF-8 (null as empty), and a list of values per column of ``inputs``; it returns a value per
+    text for each field. The result sits in a struct of its own, so no column of the input can clash with it.
     """
     source = rows.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.struct(F.lit(0).alias("_")).alias("row"),
-                         F.col(f"`{text}`").alias("text"))
+                         F.col(f"`{text}`").alias("text"), *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
     schema = T.StructType([source.schema["row"], T.StructField("out", T.StructType(fields))])
-    kinds = {f.name: arrow_type(f.dataType) for f in fields}
+    kinds, more = {f.name: arrow_type(f.dataType) for f in fields}, len(inputs)
 
     def run(batches):
         for batch in batches:
             columns: dict[str, list] = {name: [] for name in kinds}
-            for _, texts in textscan.chunked(batch.column("text"), chunk_bytes):
-                found = work(texts)
+            for first, texts in textscan.chunked(batch.column("text"), chunk_bytes):
+                found = work(texts, *[batch.column(2 + i).slice(first, len(texts)).to_pylist() for i in range(more)])
                 for name, kind in kinds.items():
                     columns[name].append(pa.array(found[name], kind))
             out = [pa.concat_arrays(parts) if parts else pa.array([], kinds[name]) for name, parts in columns.items()]
