@@ -14,9 +14,10 @@ def test_same_rows_as_duckdb(spark, small_dir, name):
 
 
 def test_queries_are_whole():
-    assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]) if n != "pipeline" else 11) == [
+    assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]) if n != "pipeline" else 99) == [
         "op1_quality_rules", "op2_quality_classifier", "op3_ngram_join", "op4_toxicity", "op5_line_dedup", "op6_pii", "op7_warc",
-        "op8_document_fingerprints", "op9_byte_bpe", "op10_best_fit_packing", "pipeline"]
+        "op8_document_fingerprints", "op9_byte_bpe", "op10_best_fit_packing", "op11_token_counts",
+        "op12_periodic_runs", "op13_fill_in_middle", "pipeline"]
 
 
 def test_stages(spark, small_dir):
