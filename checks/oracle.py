@@ -6,6 +6,7 @@ windows the engine uses.
 
 from __future__ import annotations
 
+from checks.forest_sql import forest
 from checks.views import AS_OF_EPOCH, CERTIFICATES_SQL, PACE, PACKETS_SQL, START_US, STREAMS_SQL
 from sealcheck.tables import (
     ALL_INSIDE, BASELINE_ADVICE, CAPABILITY_WORDS, CIPHER_SUITES, CLEARTEXT_FORBIDDEN, CLEARTEXT_MODES, EVIDENCE, FALLBACK_NOTE, FEATURES,
@@ -473,6 +474,24 @@ SQL["M9_explanations"] = scored("""SELECT sc.capture, sc.session_id, coalesce(t.
   (SELECT *, row_number() OVER (PARTITION BY capture, session_id ORDER BY pos) AS k FROM fnd WHERE severity NOT IN ('INFO', 'LOW')) x WHERE k <= 5 GROUP BY ALL) t USING (capture, session_id)""")
 SQL["M10_confusion"] = scored("SELECT policy_risk_class, " + ", ".join(f'count(*) FILTER (ml_class = {q(c)}) AS "{c}"' for c in ("CRITICAL", "HIGH", "LOW", "MEDIUM")) + " FROM sc GROUP BY policy_risk_class")
 SQL["M10_agreement"] = scored("SELECT capture, count(*) AS rows, count(*) FILTER (ml_class = policy_risk_class) AS correct, round_even(CAST(count(*) FILTER (ml_class = policy_risk_class) AS DOUBLE) / count(*), 4) AS accuracy FROM sc GROUP BY capture")
+def forest_rows(select: str, train: str, folds: bool, trees: int, score: str | None = None) -> str:
+    head = TO_SCORED.replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"{head}, {TRAIN}, {forest(train, FEATURE_SQL, trees, folds, score)} {select}"
+
+
+VOTED = f"""SELECT * EXCLUDE (label), ['CRITICAL', 'HIGH', 'LOW', 'MEDIUM'][label + 1] AS label, CASE greatest(v0, v1, v2, v3) WHEN v0 THEN 'CRITICAL' WHEN v1 THEN 'HIGH' WHEN v2 THEN 'LOW' ELSE 'MEDIUM' END AS ml_class,
+  greatest(v0, v1, v2, v3) AS best FROM (SELECT fold AS capture, session_id, label, sum(v0) AS v0, sum(v1) AS v1, sum(v2) AS v2, sum(v3) AS v3 FROM grown WHERE tag = 'vote' GROUP BY ALL) x"""
+AGREED = f"SELECT replace(capture, 'scored|', '') AS capture, count(*) AS rows, count(*) FILTER (ml_class = label) AS correct, round_even(CAST(count(*) FILTER (ml_class = label) AS DOUBLE) / count(*), 4) AS accuracy FROM ({VOTED}) y GROUP BY capture"
+LABELLED = "SELECT sc.*, 1 AS copy_no, policy_risk_class AS label FROM sc"
+REPEATED = "SELECT *, policy_risk_class AS label FROM rep"
+SQL["M4_fit_risk"] = forest_rows("""SELECT tree, count(*) FILTER (kind = 'split') AS splits, count(*) FILTER (kind = 'leaf') AS leaves, max(depth) AS depth, CAST(sum(n_rows) FILTER (kind = 'leaf') AS BIGINT) AS rows,
+  CAST(sum(v0) AS BIGINT) AS critical_votes FROM grown WHERE tag = 'out' GROUP BY tree""", REPEATED, False, 220)
+SQL["M5_score_risk"] = forest_rows(f"SELECT replace(capture, 'scored|', '') AS capture, session_id, ml_class, round_even(CAST(best * 100 AS DOUBLE) / (220 * 1000000), 2) AS ml_confidence FROM ({VOTED}) y",
+                                   REPEATED, False, 220, LABELLED)
+SQL["M11_leave_one_capture_out"] = forest_rows(AGREED, REPEATED, True, 120)
+SQL["M11_held_out_forests"] = forest_rows("SELECT fold AS capture, count(DISTINCT tree) AS trees, count(*) FILTER (kind = 'leaf') AS leaves, CAST(sum(n_rows) FILTER (kind = 'leaf') AS BIGINT) AS rows FROM grown WHERE tag = 'out' GROUP BY fold",
+                                          REPEATED, True, 120)
+SQL["M12_transfer_test"] = forest_rows(AGREED, f"{LABELLED} WHERE {CAPNO} % 2 = 1", False, 220, f"{LABELLED} WHERE {CAPNO} % 2 = 0")
 LONG = "feat AS (SELECT capture, session_id, server_port, first_frame, feature, value FROM (" + " UNION ALL ".join(
     f"SELECT capture, session_id, server_port, first_frame, {q(n)} AS feature, CAST({FEATURE_SQL[n]} AS DOUBLE) AS value FROM st" for n in FEATURES) + ") x)"
 SQL["M13_feature_ranges"] = f"{TO_SESSIONS}, {LONG} SELECT feature, round_even(min(value), 6) AS min, round_even(quantile_cont(value, 0.01), 6) AS p01, round_even(quantile_cont(value, 0.5), 6) AS p50, round_even(quantile_cont(value, 0.99), 6) AS p99, round_even(max(value), 6) AS max FROM feat GROUP BY feature"

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from checks import exports, views
 from sealcheck.functions import fields as fx, mailtext as mt, tls
 from sealcheck.operators import (
-    anomaly, certificates, discovery, evaluation, features, reports, rules, scoring, sessions, triage,
+    anomaly, certificates, discovery, evaluation, features, forest, reports, rules, scoring, sessions, triage,
 )
 from sealcheck.plans import posture
 from sealcheck.session import materialise, use_checkpoint_dir
@@ -645,9 +645,10 @@ def _(spark, sf):
 
 @query("M4_fit_risk")
 def _(spark, sf):
-    model = triage.fit_risk(training(spark, sf))
-    importance = [(n, float(model.featureImportances[i])) for i, n in enumerate(FEATURES)]
-    return spark.createDataFrame(importance, "feature string, importance double")
+    nodes = triage.fit_risk(training(spark, sf)).nodes
+    leaf = F.col("kind") == "leaf"
+    return nodes.groupBy("tree").agg(F.count_if(F.col("kind") == "split").alias("splits"), F.count_if(leaf).alias("leaves"), F.max("depth").alias("depth"),
+                                     F.sum(F.when(leaf, F.col("rows"))).alias("rows"), F.sum(F.when(leaf, F.col("v0"))).alias("critical_votes"))
 
 
 @query("M5_score_risk")
@@ -699,6 +700,14 @@ def _(spark, sf):
     return triage.leave_one_capture_out(training(spark, sf))
 
 
+@query("M11_held_out_forests")
+def _(spark, sf):
+    nodes = forest.grow(training(spark, sf), "label", 120, folds=True).nodes
+    leaf = F.col("kind") == "leaf"
+    return nodes.groupBy(F.col("fold").alias("capture")).agg(F.countDistinct("tree").alias("trees"), F.count_if(leaf).alias("leaves"),
+                                                             F.sum(F.when(leaf, F.col("rows"))).alias("rows"))
+
+
 @query("M12_transfer_test")
 def _(spark, sf):
     rows = triage.training_frame(scored(spark, sf), "policy_risk_class")

@@ -5,22 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sealcheck.operators.features import feature_columns, with_vector
+from sealcheck.operators import forest
+from sealcheck.operators.features import feature_columns
+from sealcheck.operators.forest import CLASSES
 from sealcheck.operators.ranks import exact_percentiles, lowest_share
 from sealcheck.operators.scoring import risk_band
-from sealcheck.session import materialise
 from sealcheck.tables import (
     ALL_INSIDE, CAPTURE_SUFFIXES, FALLBACK_NOTE, FEATURES, MODEL_VERSION, STALE_NOTE, RISK_BANDS, TRAINING_CAP, TRAINING_FOLDERS, TRAINING_REPEAT,
 )
 
-CLASSES = ("CRITICAL", "HIGH", "LOW", "MEDIUM")     # sorted, as the trained model lists them
-
 
 def _f(name: str) -> Column:
     return F.col(f"f_{name}")
@@ -85,27 +81,16 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ classifier
-def _class_index(label: Column) -> Column:
-    return (F.array_position(F.array(*map(F.lit, CLASSES)), label) - 1).cast("double")
-
+def fit_risk(rows: DataFrame, label: str = "label", trees: int = 220, seed: int = 42) -> forest.ForestModel:
+    """Balanced random forest over the features, trees as deep as their rows allow."""
+    grown = forest.grow(rows, label, trees, folds=False, seed=seed)
+    return forest.ForestModel(grown.nodes, grown.cuts, trees)
 
-def fit_risk(rows: DataFrame, label: str = "label", trees: int = 220, depth: int = 12, seed: int = 42):
-    """Balanced random forest over the feature vector."""
-    vectors = materialise(with_vector(rows).select("vector", label))      # the forest reads its input many times
-    data = class_weights(vectors, label).select("vector", "weight", _class_index(F.col(label)).alias("target"))
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="target", weightCol="weight", numTrees=trees,
-                                    maxDepth=depth, minInstancesPerNode=2, seed=seed)
-    return forest.fit(data)
 
-
-def score_risk(features: DataFrame, model) -> DataFrame:
+def score_risk(features: DataFrame, model: forest.ForestModel) -> DataFrame:
     """Add ml_class and ml_confidence (percent, two decimals)."""
-    scored = model.transform(with_vector(features))
-    p = vector_to_array("probability")
-    best = F.array_max(p)
-    return (scored.withColumn("ml_class", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position(p, best).cast("int")))
-            .withColumn("ml_confidence", F.bround(best * 100, 2))
-            .drop("vector", "rawPrediction", "probability", "prediction"))
+    found, confidence = forest.verdict(model.trees)
+    return model.votes(features).select(*[F.col(f"`{c}`") for c in features.columns], found.alias("ml_class"), confidence.alias("ml_confidence"))
 
 
 def schema_fingerprint() -> str:
@@ -152,34 +137,15 @@ def agreement(scored: DataFrame, *keys: str, expected: str = "policy_risk_class"
     ).withColumn("accuracy", F.bround(F.col("correct") / F.col("rows"), 4))
 
 
-def leave_one_capture_out(rows: DataFrame, label: str = "label", trees: int = 120, depth: int = 12,
-                          base: DataFrame | None = None, at_once: int = 4) -> DataFrame:
-    """Hold out each training capture, fit on the others, score it.
-
-    One model per capture is what the estimate means; the folds are independent Spark jobs,
-    a few at a time. Training captures are a curated list, so only their names reach the driver.
-    """
-    rows = materialise(rows)
-    names = sorted(r[0] for r in rows.select("capture").distinct().collect())
-
-    def fold(name: str) -> DataFrame:
-        train = rows.filter(F.col("capture") != name)
-        if base is not None:
-            train = train.unionByName(base, allowMissingColumns=True)
-        return score_risk(rows.filter((F.col("capture") == name) & (F.col("copy_no") == 1)),
-                          fit_risk(train, label, trees, depth))
-
-    with ThreadPoolExecutor(at_once) as pool:
-        folds = list(pool.map(fold, names))
-    scored = folds[0]
-    for other in folds[1:]:
-        scored = scored.unionByName(other)
-    return agreement(scored, "capture", expected=label)
+def leave_one_capture_out(rows: DataFrame, label: str = "label", trees: int = 120, base: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """Hold out each training capture, fit on the others (and on ``base``), score it. All forests grow together."""
+    grown = forest.grow(rows, label, trees, folds=True, base=base, seed=seed)
+    return agreement(forest.held_out_classes(grown, trees), "capture", expected="label")
 
 
-def transfer_test(source: DataFrame, target: DataFrame, label: str = "label", trees: int = 220, depth: int = 12) -> DataFrame:
+def transfer_test(source: DataFrame, target: DataFrame, label: str = "label", trees: int = 220, seed: int = 42) -> DataFrame:
     """Train on one source only, score the other, per capture."""
-    return agreement(score_risk(target, fit_risk(source, label, trees, depth)), "capture", expected=label)
+    return agreement(score_risk(target, fit_risk(source, label, trees, seed)), "capture", expected=label)
 
 
 # ------------------------------------------------------------------ novelty

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,6 +47,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write once as Parquet in the shared folder and read back. Unlike a checkpoint it has the sizes of its files, not those once estimated."""
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that no later plan reads."""
+    for file in df.inputFiles()[:1]:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Broadcast ``df`` when its counted size allows it, else leave the join to AQE.
 

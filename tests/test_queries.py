@@ -21,25 +21,14 @@ def test_every_statement_has_a_query():
     queries, statements = set(entry.queries()), set(entry.oracle_sql())
     assert statements <= queries
     own = {name for name in queries - statements if not name.startswith("op") and name != "pipeline"}
-    assert own == {"M4_fit_risk", "M5_score_risk", "M6_fit_anomaly", "M7_score_anomaly", "M11_leave_one_capture_out", "M12_transfer_test", "P1_analyse"}
-
-
-def test_leave_one_capture_out_has_the_operators_depth(monkeypatch):
-    from inspect import signature
-
-    from checks import spark_queries as sq
-    operator, calls = signature(sq.triage.leave_one_capture_out), []
-    monkeypatch.setattr(sq, "training", lambda spark, sf: "rows")
-    monkeypatch.setattr(sq.triage, "leave_one_capture_out", lambda *given, **named: calls.append(operator.bind(*given, **named).arguments))
-    sq.QUERIES["M11_leave_one_capture_out"](None, "")
-    assert calls == [{"rows": "rows"}]
+    assert own == {"M6_fit_anomaly", "M7_score_anomaly", "P1_analyse"}
 
 
 def test_models(spark, small_dir):
     from checks import spark_queries as sq
     from sealcheck.operators import anomaly, triage
     rows = sq.scored(spark, small_dir)
-    model = triage.fit_risk(triage.training_frame(rows, "policy_risk_class"), trees=20, depth=8)
+    model = triage.fit_risk(triage.training_frame(rows, "policy_risk_class"), trees=20)
     scored = triage.score_risk(rows.drop("ml_class"), model)
     total = triage.agreement(scored.withColumn("all", sq.F.lit(1)), "all").first()
     assert total["accuracy"] > 0.8
