@@ -6,14 +6,16 @@ A document is the set of its distinct five-word shingles (tokens). Two sets link
 * Tokens of more than ``FREQUENT`` documents are the frequent class. Every set is ordered rare tokens first, frequent tokens
   last, by hash inside; any global order is right, this one keeps common passages out of the prefixes, and a rare token meets
   at most ``FREQUENT`` documents.
-* Two linked sets share a token among their first p = n - ceil(t n) + 1 tokens. A shared rare token is indexed by itself.
-* Sets whose prefix reaches into the frequent tokens extend it by m: linked sets share m + 1 tokens there. Frequent tokens
-  are dealt into m subclasses, so one subclass holds two shared ones: all two-token combinations within a subclass are indexed.
-  m depends on the size; a set is indexed for the sizes of every partner it can have.
+* Two linked sets share a token among their first p = n - ceil(t n) + 1 tokens. Rare tokens of the prefix are indexed by themselves.
+* Sets whose prefix reaches into the frequent tokens extend it to all of these. If two such sets link without a common rare token, all
+  they share is frequent, and so many must be shared that the frequent parts differ in at most H = s(x) + s(y) tokens, where
+  s = n (1 - t) / (1 + t) - r and r counts the rare tokens. Frequent tokens are dealt into H + 1 subclasses by hash, so the two agree in
+  all tokens of one subclass: the combination of all a set has of a subclass is indexed, k tokens where few may differ and a set is
+  long, fewer where more may differ. s falls into ranges; a set is indexed for each range that a partner's can be in.
 
 Documents of one signature are compared to one leader first. What links joins its component; only members of different
-components need a look at each other, so a group of near copies costs its size and not its square. Pairs pass a bitmap
-of set parities, a bound on the overlap that never loses a link, and are then verified on the whole sets.
+components need a look at each other, so a group of near copies costs its size and not its square. That look compares sizes and a
+bitmap of parities inside the join, which never loses a link; what passes is verified on the whole sets.
 
 Empty and null texts have no tokens and link with nothing; a text of fewer than five words is one token. Rows without an id
 get no component. Rows that share an id are one node, linked where any of their texts links.
@@ -45,13 +47,41 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _subclasses(level: int) -> int:
-    return max(1, (1 << level) // 20)
+def _range_starts(limit: int = 1 << 26) -> np.ndarray:
+    """Starts of the ranges of s: single numbers around zero, then about a seventh wider each."""
+    up = [0]
+    while up[-1] < limit:
+        up.append(up[-1] + max(1, up[-1] // 7))
+    return np.array([*(-u for u in up[:0:-1]), *up], np.int64)
 
 
-def _levels(n: int, percent: int) -> range:
-    """Binary logarithms of the sizes that the smaller of two linked sets can have."""
-    return range(((percent * n + 99) // 100).bit_length() - 1, n.bit_length())
+_STARTS = _range_starts()
+
+
+def _range_of(value: int) -> int:
+    return int(np.searchsorted(_STARTS, value, "right")) - 1
+
+
+def combinations(tokens: np.ndarray, n: int, percent: int = PERCENT) -> list[np.ndarray]:
+    """Signatures of the frequent ``tokens`` of a set of ``n``, per range of s that a partner can be in."""
+    unit = 100 + percent
+    own = _range_of((n * (100 - percent) - (n - len(tokens)) * unit) // unit)
+    largest = (n * 100 // percent) * (100 - percent) // unit
+    top = int(_STARTS[own + 1]) - 1
+    found, values = [], textscan.mix(tokens ^ _SALT_A)
+    for other in range(_range_of(-top - 1), _range_of(largest) + 1):
+        classes = top + int(_STARTS[other + 1]) - 1 + 2
+        if classes < 1:
+            continue
+        owner = (textscan.mix(tokens + np.uint64(classes)) % np.uint64(classes)).astype(np.int64)
+        order = np.argsort(owner, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]])) if len(order) else order
+        sums = np.zeros(classes, np.uint64)
+        if len(order):
+            sums[owner[order][first]] = np.add.reduceat(values[order], first)
+        key = textscan.mix(np.array([min(own, other) << 16 | max(own, other)], np.uint64) ^ _SALT_B)
+        found.append(textscan.mix(sums + textscan.mix(np.arange(classes, dtype=np.uint64) + key)))
+    return found
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -62,20 +92,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     rare, p = tokens[~frequent], prefix_length(n, percent)
     if len(rare) >= p:
         return rare[:p]
-    parts = [rare]
-    common_tokens = tokens[frequent]
-    for level in _levels(n, percent):
-        m = _subclasses(level)
-        taken = common_tokens[:max(0, p + m - len(rare))]
-        owner = textscan.mix(taken) % np.uint64(m)
-        order = np.argsort(owner, kind="stable")
-        taken, owner = taken[order], owner[order]
-        for gap in range(1, len(taken)):
-            same = owner[gap:] == owner[:-gap]
-            if not same.any():
-                break
-            parts.append(textscan.mix(taken[:-gap][same] * np.uint64(0x9E3779B97F4A7C15) + taken[gap:][same] + np.uint64(level)))
-    return np.unique(np.concatenate(parts))
+    return np.unique(np.concatenate([rare, *combinations(tokens[frequent], n, percent)]))
 
 
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -150,15 +167,20 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
+def may_link(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column, percent: int) -> Column:
+    """False only for sets that do not link: overlap <= (n_a + n_b - differing parities) / 2, and a link needs
+    overlap * (100 + percent) >= percent * (n_a + n_b)."""
+    differ = sum(F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))) for i in range(BITMAP_LONGS))
+    return _size_fits(n_a, n_b, percent) & ((n_a + n_b - differ) * (100 + percent) >= 2 * percent * (n_a + n_b))
+
+
 def verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. ``facts``: (rep, n, bits); ``sets``: (rep, tokens)."""
     def side(name: str) -> DataFrame:
         return facts.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
 
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_size_fits(F.col("n_a"), F.col("n_b"), percent))
-    # overlap <= (n_a + n_b - differ) / 2, and a link needs overlap * (100 + percent) >= percent * (n_a + n_b)
-    near = near.where((F.col("n_a") + F.col("n_b") - differ) * (100 + percent) >= 2 * percent * (F.col("n_a") + F.col("n_b")))
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(
+        may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), percent))
     # few pairs pass the bound: only their sets are dealt out, by a list of ids of a counted size or else by a merge join
     near = common.stage(near.select("a", "b"), "near")
     ids = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
@@ -225,9 +247,12 @@ def _joined(docs: DataFrame, id_column: str, text: str, percent: int, frequent_a
             pairs = (rest.where(_size_fits(F.col("n"), F.col("main_lead.n"), percent))
                      .select(F.least("rep", "main_lead.rep").alias("a"), F.greatest("rep", "main_lead.rep").alias("b")))
         else:                   # and then at all members of other components
-            other = mixed.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = (rest.join(other, "sig").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("main")) | (F.col("rep") < F.col("rep2")))
-                                                   & _size_fits(F.col("n"), F.col("n2"), percent))
+            mixed = mixed.join(rep_facts.select("rep", "bits"), "rep")
+            rest = mixed.where(F.col("comp") != F.col("main"))
+            other = mixed.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("bits").alias("bits2"))
+            apart = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("main")) | (F.col("rep") < F.col("rep2")))
+            same_sig = rest["sig"] == other["sig"]
+            pairs = (rest.join(other, same_sig & apart & may_link(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent))
                      .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")))
         more = common.stage(verified(pairs, rep_facts, sets, percent), "links")
         links = links.union(more)

@@ -20,6 +20,8 @@ from sealcheck.llm import common, textscan
 #: Labelled rows the list is fitted on at most, in the order of a hash of their id.
 SAMPLE_ROWS = 20_000
 MAX_RULES, MAX_TESTS, CUTS = 12, 4, 48
+#: Fewer words fail the base rules.
+LEAST_WORDS = 50
 #: A rule must hit the rejected class this often among the pruning rows it covers, and cover this many.
 LEAST_PRECISION, LEAST_COVERED = 0.8, 3
 
@@ -93,7 +95,7 @@ def rate_columns(counts: str = "out") -> list[Column]:
 
 def base_failed(counts: str = "out") -> Column:
     n, repeat = F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")
-    return (n < 50) | (100 * repeat > 50 * n)
+    return (n < LEAST_WORDS) | (100 * repeat > 50 * n)
 
 
 @dataclass(frozen=True)
