@@ -28,8 +28,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_seen_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a document with a smaller id holds go."""
-    return _with_text(line_dedup.with_clean_text(docs), docs.columns, F.col("out.text"))
+    """Lines that a document with a smaller id holds go, and so do documents that are left with fewer words than the rules ask for."""
+    found = line_dedup.with_clean_text(docs)
+    words = F.size(F.filter(F.split("out.text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return _with_text(found.where((F.col("out.n_dropped") == 0) | (words >= quality_rules.LEAST_WORDS)), docs.columns, F.col("out.text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
