@@ -24,6 +24,8 @@ get no component. Rows that share an id are one node, linked where any of their
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sealcheck.llm import common, textscan
@@ -38,6 +40,8 @@ BROADCAST_PAIRS = 500_000
 #: Looks at a leader before members of different components are compared.
 ROUNDS = 2
 BITMAP_LONGS = 16
+#: Text bytes whose tokens share a bucket when tokens are counted; tokens a task counts before it hands them on.
+BUCKET_BYTES, PARCEL_TOKENS = 8 << 20, 2_000_000
 
 _SALT_A, _SALT_B = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LONGS = T.ArrayType(T.LongType())
@@ -48,10 +52,10 @@ def prefix_length(n, percent: int):
 
 
 def _range_starts(limit: int = 1 << 26) -> np.ndarray:
-    """Starts of the ranges of s: single numbers around zero, then about a seventh wider each."""
+    """Starts of the ranges of s: single numbers around zero, then a quarter wider each."""
     up = [0]
     while up[-1] < limit:
-        up.append(up[-1] + max(1, up[-1] // 7))
+        up.append(up[-1] + max(1, up[-1] // 4))
     return np.array([*(-u for u in up[:0:-1]), *up], np.int64)
 
 
@@ -68,17 +72,16 @@ def combinations(tokens: np.ndarray, n: int, percent: int = PERCENT) -> list[np.
     own = _range_of((n * (100 - percent) - (n - len(tokens)) * unit) // unit)
     largest = (n * 100 // percent) * (100 - percent) // unit
     top = int(_STARTS[own + 1]) - 1
-    found, values = [], textscan.mix(tokens ^ _SALT_A)
+    values = textscan.mix(tokens ^ _SALT_A)
+    # sums of 24 bits of up to 2**29 tokens are exact in doubles
+    parts = [((values >> shift & np.uint64(2**24 - 1)).astype(float), shift) for shift in (np.uint64(0), np.uint64(32))]
+    found = []
     for other in range(_range_of(-top - 1), _range_of(largest) + 1):
         classes = top + int(_STARTS[other + 1]) - 1 + 2
         if classes < 1:
             continue
         owner = (textscan.mix(tokens + np.uint64(classes)) % np.uint64(classes)).astype(np.int64)
-        order = np.argsort(owner, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]])) if len(order) else order
-        sums = np.zeros(classes, np.uint64)
-        if len(order):
-            sums[owner[order][first]] = np.add.reduceat(values[order], first)
+        sums = sum(np.bincount(owner, part, classes).astype(np.uint64) << shift for part, shift in parts)
         key = textscan.mix(np.array([min(own, other) << 16 | max(own, other)], np.uint64) ^ _SALT_B)
         found.append(textscan.mix(sums + textscan.mix(np.arange(classes, dtype=np.uint64) + key)))
     return found
@@ -123,11 +126,53 @@ def _sets(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             .select(F.col(f"row.`{id_column}`").alias("doc_id"), F.col("out.tokens").alias("tokens")))
 
 
+def frequent_tokens(docs: DataFrame, text: str, above: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(token) of more than ``above`` rows.
+
+    Tasks count what they hold and deal the distinct tokens with their counts by their leading bits, packed, into buckets whose number
+    follows the bytes of all texts; a token is once in a task's parcel, so no bucket grows with the number of its documents.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    buckets = 1 << max(4, (size // bucket_bytes).bit_length(), (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+
+    def parcels(batches):
+        held, waiting = [], 0
+        for batch in batches:
+            for _, texts in textscan.chunked(batch.column(0)):
+                held += textscan.Scan(texts, lower=True).shingle_sets()
+                waiting += sum(map(len, held[-len(texts):]))
+                if waiting >= PARCEL_TOKENS:
+                    yield parcel(held)
+                    held, waiting = [], 0
+        if held:
+            yield parcel(held)
+
+    def parcel(sets: list[np.ndarray]):
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        bucket = (tokens >> shift).astype(np.int64)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        last = np.append(first[1:], len(tokens))
+        return pa.RecordBatch.from_arrays([
+            pa.array(bucket[first], pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
+            pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(first, last)], pa.binary())], names=["bucket", "tokens", "counts"])
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint64)
+        counts = np.frombuffer(b"".join(rows["counts"]), np.uint32)
+        found, back = np.unique(tokens, return_inverse=True)
+        many = np.bincount(back, counts, len(found)) > above
+        return pd.DataFrame({"token": found[many].view(np.int64)})
+
+    dealt = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(parcels, "bucket long, tokens binary, counts binary")
+    return dealt.groupBy("bucket").applyInPandas(count, "token long")
+
+
 def set_facts(docs: DataFrame, id_column: str, text: str, percent: int, frequent_above: int, broadcast_tokens: int) -> DataFrame:
     """(doc_id, n, d1, d2, bits, sigs) per row."""
     spark = docs.sparkSession
-    counted = _sets(docs, id_column, text).select(F.explode("tokens").alias("token")).groupBy("token").count()
-    frequent = common.stage(counted.where(F.col("count") > frequent_above).select("token"), "frequent")
+    frequent = common.stage(frequent_tokens(docs, text, frequent_above), "frequent")
     if frequent.count() <= broadcast_tokens:
         held = spark.sparkContext.broadcast(np.sort(frequent.toPandas()["token"].to_numpy(np.int64).view(np.uint64)))
 
@@ -151,7 +196,6 @@ def set_facts(docs: DataFrame, id_column: str, text: str, percent: int, frequent
     schema = T.StructType([id_type, *_FACTS])
 
     def flag(batches):
-        import pyarrow as pa
         for batch in batches:
             tokens = [np.array(t, np.int64).view(np.uint64) for t in batch.column("tokens").to_pylist()]
             hot = [np.array(t or [], np.int64).view(np.uint64) for t in batch.column("hot").to_pylist()]
