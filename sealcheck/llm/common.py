@@ -24,19 +24,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark's own switch: the shuffle files of a finished query go at its end and not when the driver happens to collect garbage.
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own switches: the shuffle files of a finished query go at its end and not when the driver happens to collect garbage, and
+#: a Python worker is handed so many rows at once.
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 @contextlib.contextmanager
 def tidy_shuffles(spark: SparkSession):
     """Queries made inside give up their shuffles when they end; what they leave behind are staged tables."""
-    before = spark.conf.get(_TIDY, "false")
-    spark.conf.set(_TIDY, "true")
+    before = {key: spark.conf.get(key, None) for key in _TIDY}
+    for key, value in _TIDY.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_TIDY, before)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

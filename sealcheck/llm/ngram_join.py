@@ -13,7 +13,7 @@ A document is the set of its distinct five-word shingles (tokens). Two sets link
   all tokens of one subclass: the combination of all a set has of a subclass is indexed, k tokens where few may differ and a set is
   long, fewer where more may differ. s falls into ranges; a set is indexed for each range that a partner's can be in.
 
-Documents of one signature are compared to one leader first. What links joins its component; only members of different
+Signatures with the same members are one. Their documents are compared to one leader first. What links joins its component; only members of different
 components need a look at each other, so a group of near copies costs its size and not its square. That look compares sizes and a
 bitmap of parities inside the join, which never loses a link; what passes is verified on the whole sets.
 
@@ -268,7 +268,10 @@ def _joined(docs: DataFrame, id_column: str, text: str, percent: int, frequent_a
     # by id and digest: all rows of a large class share the digest, but one alone has the id
     reps = facts.withColumn("rep", F.col("doc_id")).join(classes, ["rep", "n", "d1", "d2"]).drop("doc_id")
     indexed = reps.select("rep", "n", F.explode("sigs").alias("sig"))
-    leaders = indexed.groupBy("sig").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n")).alias("lead")).where("held > 1")
+    # signatures of the same members say the same: one of them stays, told by the number and two sums of hashes of the members
+    leaders = indexed.groupBy("sig").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n")).alias("lead"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x1"),
+                                         F.bit_xor(F.xxhash64("rep", F.lit(2))).alias("x2")).where("held > 1")
+    leaders = leaders.groupBy("held", "lead", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "lead")
     live = common.stage(indexed.join(leaders, "sig").select("sig", "rep", "n", "lead"), "live")
     wanted = live.select("rep").distinct()
     rep_facts = common.stage(reps.select("rep", "n", "bits").join(wanted, "rep"), "repfacts")
