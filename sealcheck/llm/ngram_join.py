@@ -23,6 +23,8 @@ get no component. Rows that share an id are one node, linked where any of their
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,7 +39,7 @@ FREQUENT = 16
 BROADCAST_TOKENS = 1 << 20
 #: Pairs whose ids (twice 8 bytes each) are broadcast at most.
 BROADCAST_PAIRS = 500_000
-#: Looks at a leader before members of different components are compared.
+#: Looks at a leader outside the largest component, before members of different components are compared; the last round is that comparison.
 ROUNDS = 2
 BITMAP_LONGS = 16
 #: Text bytes whose tokens share a bucket when tokens are counted; tokens a task counts before it hands them on.
@@ -218,23 +220,24 @@ def may_link(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column, percent:
     return _size_fits(n_a, n_b, percent) & ((n_a + n_b - differ) * (100 + percent) >= 2 * percent * (n_a + n_b))
 
 
-def verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. ``facts``: (rep, n, bits); ``sets``: (rep, tokens)."""
+def verified(pairs: DataFrame, facts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. ``facts``: (rep, n, bits); ``sets_of`` ids (rep): (rep, tokens)."""
     def side(name: str) -> DataFrame:
         return facts.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
 
     near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(
         may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), percent))
-    # few pairs pass the bound: only their sets are dealt out, by a list of ids of a counted size or else by a merge join
+    # few pairs pass the bound: only their sets are made, from a list of ids of a counted size or else by a merge join
     near = common.stage(near.select("a", "b"), "near")
     ids = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-    few = near.count() <= BROADCAST_PAIRS
-    sets = sets.join(F.broadcast(ids) if few else ids.hint("merge"), "rep", "left_semi")
+    sets = common.stage(sets_of(F.broadcast(ids) if near.count() <= BROADCAST_PAIRS else ids.hint("merge")), "sets")
     both = (near.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a")
             .join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b"))
     both = both.select("a", "b", (F.size("tokens_a") + F.size("tokens_b")).alias("total"),
                        F.size(F.array_intersect("tokens_a", "tokens_b")).alias("shared"))
-    return both.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b").distinct()
+    links = common.stage(both.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b").distinct(), "links")
+    common.discard(sets, near)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,7 +270,8 @@ def _joined(docs: DataFrame, id_column: str, text: str, percent: int, frequent_a
     classes = common.stage(facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     # by id and digest: all rows of a large class share the digest, but one alone has the id
     reps = facts.withColumn("rep", F.col("doc_id")).join(classes, ["rep", "n", "d1", "d2"]).drop("doc_id")
-    indexed = reps.select("rep", "n", F.explode("sigs").alias("sig"))
+    # dealt once by signature; what follows in this step keeps that
+    indexed = reps.select("rep", "n", F.explode("sigs").alias("sig")).repartition("sig")
     # signatures of the same members say the same: one of them stays, told by the number and two sums of hashes of the members
     leaders = indexed.groupBy("sig").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n")).alias("lead"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x1"),
                                          F.bit_xor(F.xxhash64("rep", F.lit(2))).alias("x2")).where("held > 1")
@@ -275,24 +279,27 @@ def _joined(docs: DataFrame, id_column: str, text: str, percent: int, frequent_a
     live = common.stage(indexed.join(leaders, "sig").select("sig", "rep", "n", "lead"), "live")
     wanted = live.select("rep").distinct()
     rep_facts = common.stage(reps.select("rep", "n", "bits").join(wanted, "rep"), "repfacts")
-    sets = common.stage(_sets(docs.join(rep_facts.select(F.col("rep").alias(id_column)).distinct().hint("merge"), id_column, "left_semi"), id_column, text)
-                        .withColumnRenamed("doc_id", "rep"), "sets")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        chosen = docs.join(ids.withColumnRenamed("rep", id_column), id_column, "left_semi")
+        return _sets(chosen, id_column, text).withColumnRenamed("doc_id", "rep")
 
     pairs = (live.where(F.col("rep") != F.col("lead.rep")).where(_size_fits(F.col("n"), F.col("lead.n"), percent))
              .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")))
-    links = common.stage(verified(pairs, rep_facts, sets, percent), "links")
+    links = verified(pairs, rep_facts, sets_of, percent)
     for number in range(1, rounds + 1):
         comps = components(links).withColumnRenamed("node", "rep")
         placed = live.select("sig", "rep", "n").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        per_comp = placed.groupBy("sig", "comp").agg(F.count("*").alias("held"),
-                                                     F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(number))).alias("lead"))
-        main = (per_comp.groupBy("sig").agg(F.max(F.struct("held", "comp", "lead")).alias("top"), F.count("*").alias("comps"))
-                .where("comps > 1").select("sig", F.col("top.comp").alias("main"), F.col("top.lead").alias("main_lead")))
+        per_comp = placed.groupBy("sig", "comp").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n")).alias("lead"))
+        main = (per_comp.groupBy("sig").agg(F.max(F.struct("held", "comp")).alias("top"), F.count("*").alias("comps"))
+                .where("comps > 1").select("sig", F.col("top.comp").alias("main")))
         mixed = placed.join(main, "sig")
-        rest = mixed.where(F.col("comp") != F.col("main"))
-        if number < rounds:     # the rest of each signature looks at another member of its largest component
-            pairs = (rest.where(_size_fits(F.col("n"), F.col("main_lead.n"), percent))
-                     .select(F.least("rep", "main_lead.rep").alias("a"), F.greatest("rep", "main_lead.rep").alias("b")))
+        if number < rounds:     # what is outside the largest component looks at the largest of the others
+            second = (per_comp.join(main, "sig").where(F.col("comp") != F.col("main"))
+                      .groupBy("sig").agg(F.max(F.struct("held", "comp", "lead")).alias("second")))
+            rest = mixed.where(F.col("comp") != F.col("main")).join(second, "sig").where(F.col("comp") != F.col("second.comp"))
+            pairs = (rest.where(_size_fits(F.col("n"), F.col("second.lead.n"), percent))
+                     .select(F.least("rep", "second.lead.rep").alias("a"), F.greatest("rep", "second.lead.rep").alias("b")))
         else:                   # and then at all members of other components
             mixed = mixed.join(rep_facts.select("rep", "bits"), "rep")
             rest = mixed.where(F.col("comp") != F.col("main"))
@@ -301,10 +308,9 @@ def _joined(docs: DataFrame, id_column: str, text: str, percent: int, frequent_a
             same_sig = rest["sig"] == other["sig"]
             pairs = (rest.join(other, same_sig & apart & may_link(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent))
                      .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")))
-        more = common.stage(verified(pairs, rep_facts, sets, percent), "links")
-        links = links.union(more)
+        links = links.union(verified(pairs, rep_facts, sets_of, percent))
     comps = components(links).withColumnRenamed("node", "rep")
-    common.discard(sets, live)
+    common.discard(live, rep_facts)
     named = classes.join(comps, "rep", "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("class_component"))
     return (facts.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
