@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -43,7 +42,7 @@ BROADCAST_PAIRS = 500_000
 ROUNDS = 2
 BITMAP_LONGS = 16
 #: Text bytes whose tokens share a bucket when tokens are counted; tokens a task counts before it hands them on.
-BUCKET_BYTES, PARCEL_TOKENS = 8 << 20, 2_000_000
+BUCKET_BYTES, PARCEL_TOKENS = 8 << 20, 400_000
 
 _SALT_A, _SALT_B = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LONGS = T.ArrayType(T.LongType())
@@ -160,15 +159,17 @@ def frequent_tokens(docs: DataFrame, text: str, above: int, bucket_bytes: int =
             pa.array(bucket[first], pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
             pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(first, last)], pa.binary())], names=["bucket", "tokens", "counts"])
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint64)
-        counts = np.frombuffer(b"".join(rows["counts"]), np.uint32)
-        found, back = np.unique(tokens, return_inverse=True)
-        many = np.bincount(back, counts, len(found)) > above
-        return pd.DataFrame({"token": found[many].view(np.int64)})
+    def count(rows: pa.Table) -> pa.Table:
+        tokens = np.frombuffer(b"".join(rows["tokens"].to_pylist()), np.uint64)
+        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint32)
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        many = np.add.reduceat(counts[order], first, dtype=np.int64) > above
+        return pa.table({"token": tokens[first[many]].view(np.int64)})
 
     dealt = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(parcels, "bucket long, tokens binary, counts binary")
-    return dealt.groupBy("bucket").applyInPandas(count, "token long")
+    return dealt.groupBy("bucket").applyInArrow(count, "token long")
 
 
 def set_facts(docs: DataFrame, id_column: str, text: str, percent: int, frequent_above: int, broadcast_tokens: int) -> DataFrame:
