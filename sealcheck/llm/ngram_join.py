@@ -291,19 +291,18 @@ def _joined(docs: DataFrame, id_column: str, text: str, percent: int, frequent_a
     for number in range(1, rounds + 1):
         comps = components(links).withColumnRenamed("node", "rep")
         placed = live.select("sig", "rep", "n").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        per_comp = placed.groupBy("sig", "comp").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n")).alias("lead"))
+        per_comp = placed.groupBy("sig", "comp").agg(F.count("*").alias("held"))
         main = (per_comp.groupBy("sig").agg(F.max(F.struct("held", "comp")).alias("top"), F.count("*").alias("comps"))
                 .where("comps > 1").select("sig", F.col("top.comp").alias("main")))
-        mixed = placed.join(main, "sig")
+        mixed = placed.join(main, "sig").join(rep_facts.select("rep", "bits"), "rep")
+        rest = mixed.where(F.col("comp") != F.col("main"))
         if number < rounds:     # what is outside the largest component looks at the largest of the others
-            second = (per_comp.join(main, "sig").where(F.col("comp") != F.col("main"))
+            second = (rest.groupBy("sig", "comp").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n", "bits")).alias("lead"))
                       .groupBy("sig").agg(F.max(F.struct("held", "comp", "lead")).alias("second")))
-            rest = mixed.where(F.col("comp") != F.col("main")).join(second, "sig").where(F.col("comp") != F.col("second.comp"))
-            pairs = (rest.where(_size_fits(F.col("n"), F.col("second.lead.n"), percent))
-                     .select(F.least("rep", "second.lead.rep").alias("a"), F.greatest("rep", "second.lead.rep").alias("b")))
+            lead = F.col("second.lead")
+            pairs = (rest.join(second, "sig").where((F.col("comp") != F.col("second.comp")) & may_link(F.col("n"), F.col("bits"), lead["n"], lead["bits"], percent))
+                     .select(F.least("rep", lead["rep"]).alias("a"), F.greatest("rep", lead["rep"]).alias("b")))
         else:                   # and then at all members of other components
-            mixed = mixed.join(rep_facts.select("rep", "bits"), "rep")
-            rest = mixed.where(F.col("comp") != F.col("main"))
             other = mixed.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("bits").alias("bits2"))
             apart = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("main")) | (F.col("rep") < F.col("rep2")))
             same_sig = rest["sig"] == other["sig"]
