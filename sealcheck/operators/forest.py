@@ -214,37 +214,35 @@ def _finished(state: DataFrame, frontier: DataFrame, depth: int, tries: int) ->
         return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
 
     def splits(rows: dict[str, np.ndarray], at: np.ndarray, features: list[int], own_capture: np.ndarray, weights: np.ndarray):
-        """Per fold: class counts, drawn rows, and its best (score, feature, bin) or none."""
+        """Per fold: class counts, drawn rows, and its best score and (feature, bin), all candidates at once."""
         at = at[rows["w"][at] > 0]
-        label, w, cnt = rows["label"][at], rows["w"][at], rows["cnt"][at]
-        present, capture = np.unique(rows["capture"][at], return_inverse=True)
-        place = np.searchsorted(present, own_capture)
-        held = np.zeros(len(own_capture), bool)
-        held[place < len(present)] = present[place[place < len(present)]] == own_capture[place < len(present)]
-        score, chosen = np.full(len(own_capture), -np.inf), np.zeros((len(own_capture), 2), np.int64)
-        for feature in features:
-            values = rows["bins"][at, feature].astype(np.int64)
-            n = int(values.max()) + 1 if len(values) else 1
-            by_class = np.bincount((capture * n + values) * 4 + label, w, len(present) * n * 4).reshape(-1, n, 4)
-            by_row = np.bincount(capture * n + values, cnt, len(present) * n).reshape(-1, n)
-            left = np.repeat(by_class.sum(axis=0)[None], len(own_capture), axis=0)
-            seen = np.repeat(by_row.sum(axis=0)[None], len(own_capture), axis=0)
-            left[held] -= by_class[place[held]]
-            seen[held] -= by_row[place[held]]
-            there = seen > 0
-            left, seen = left.cumsum(axis=1), seen.cumsum(axis=1)
-            counts, drawn = left[:, -1], seen[:, -1]
-            lw, rw = left * weights[:, None], (counts[:, None] - left) * weights[:, None]
-            valid = there & (seen >= LEAST_LEAF) & (drawn[:, None] - seen >= LEAST_LEAF)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rated = [(x[..., 0] * x[..., 0] + x[..., 1] * x[..., 1] + x[..., 2] * x[..., 2] + x[..., 3] * x[..., 3])
-                         / (x[..., 0] + x[..., 1] + x[..., 2] + x[..., 3]) for x in (lw, rw)]
-            rated = np.where(valid, rated[0] + rated[1], -np.inf)
-            top = rated.argmax(axis=1)
-            value = rated[np.arange(len(top)), top]
-            better = value > score
-            score[better], chosen[better] = value[better], np.stack([np.full(len(top), feature), top], axis=1)[better]
-        return counts, drawn, score, chosen
+        if len(own_capture) == 1:
+            at = at[rows["capture"][at] != own_capture[0]]
+            present, capture = np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+        else:
+            present, capture = np.unique(rows["capture"][at], return_inverse=True)
+        k, n = len(features), max(1, len(present))
+        cell = (capture[:, None] * k + np.arange(k)) * BINS + rows["bins"][at[:, None], features]
+        by_class = np.bincount((cell * 4 + rows["label"][at][:, None]).ravel(), np.repeat(rows["w"][at], k), n * k * BINS * 4).reshape(n, k, BINS, 4)
+        by_row = np.bincount(cell.ravel(), np.repeat(rows["cnt"][at], k), n * k * BINS).reshape(n, k, BINS)
+        left = np.repeat(by_class.sum(axis=0)[None], len(own_capture), axis=0)
+        seen = np.repeat(by_row.sum(axis=0)[None], len(own_capture), axis=0)
+        place = np.minimum(np.searchsorted(present, own_capture), n - 1)
+        held = np.flatnonzero(present[place] == own_capture) if len(present) else np.zeros(0, np.int64)
+        left[held] -= by_class[place[held]]
+        seen[held] -= by_row[place[held]]
+        there = seen > 0
+        left, seen = left.cumsum(axis=2), seen.cumsum(axis=2)
+        counts, drawn = left[:, 0, -1], seen[:, 0, -1]
+        valid = there & (seen >= LEAST_LEAF) & (drawn[:, None, None] - seen >= LEAST_LEAF)
+        lw = left * weights[:, None, None]
+        rw = (counts[:, None, None] - left) * weights[:, None, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rated = [(x[..., 0] * x[..., 0] + x[..., 1] * x[..., 1] + x[..., 2] * x[..., 2] + x[..., 3] * x[..., 3])
+                     / (x[..., 0] + x[..., 1] + x[..., 2] + x[..., 3]) for x in (lw, rw)]
+        rated = np.where(valid, rated[0] + rated[1], -np.inf).reshape(len(own_capture), -1)
+        top = rated.argmax(axis=1)
+        return counts, drawn, rated[np.arange(len(top)), top], np.stack([np.array(features)[top // BINS], top % BINS], axis=1)
 
     def finish(rows: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
         captures = {c: i for i, c in enumerate(sorted(set(rows["capture"])))}
