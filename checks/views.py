@@ -154,5 +154,5 @@ def typed_packets(spark: SparkSession, sf_dir: str, hints: bool = True) -> DataF
          .when(F.col("hs_type") == 2, F.array(F.lit("2"))).otherwise(F.array().cast("array<string>")).alias("hs_types"),
         F.array_compact(F.transform(codes, tls.tls_version_name)).alias("versions"),
         F.split("supported", ",")[0].alias("supported_version"), F.col("legacy").alias("legacy_version"),
-        F.split("suites", ",").alias("ciphers"), "sni", "key_group", values.alias("cert_values"),
+        F.split("suites", ",").alias("ciphers"), "sni", F.col("sni").alias("server_name"), "key_group", values.alias("cert_values"),
         "alert", "failure", F.hex("mail_text").alias("payload_hex"))

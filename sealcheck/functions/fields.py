@@ -134,6 +134,12 @@ def sni_value(fields: Column) -> Column:
     return F.try_element_at(names, F.lit(1))
 
 
+def server_name(fields: Column) -> Column:
+    """The first name a client asked for, whatever it looks like."""
+    named = F.filter(fields, lambda f: f["key"].endswith("extensions.server.name") & (F.trim(f["value"]) != ""))
+    return F.split(F.trim(F.try_element_at(named, F.lit(1))["value"]), ",")[0]
+
+
 def certificate_values(fields: Column) -> Column:
     skipped = ("request", "status", "url", "authorities", "types")
     kept = F.filter(

@@ -12,6 +12,37 @@ from sealcheck.tables import MAIL_PORTS, MAIL_VOCABULARY, MIN_VOCABULARY_SCORE
 KNOWN = tuple(MAIL_PORTS)
 
 
+def port_names(discovered: DataFrame) -> DataFrame:
+    """(capture, ports): the protocol of each discovered port, one row per capture of at most 65,536 entries."""
+    once = discovered.groupBy("capture", "port").agg(F.min("protocol").alias("protocol"))
+    return once.groupBy("capture").agg(F.map_from_entries(F.collect_list(F.struct("port", "protocol"))).alias("ports"))
+
+
+def port_bits(discovered: DataFrame) -> list[int]:
+    """Bit p % 64 of long p // 64 is set where port p was discovered in any capture: 1,024 longs, however many captures there are."""
+    bits = [0] * 1024
+    for row in discovered.select((F.col("port") / 64).cast("int").alias("word"), (F.col("port") % 64).alias("bit")) \
+            .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect():
+        bits[row["word"]] = row["bits"]
+    return bits
+
+
+def touches(bits: list[int], port: Column) -> Column:
+    """Is the port's bit set?"""
+    inside = port.between(0, 65_535)
+    word = F.get(F.array(*map(F.lit, bits)).cast("array<bigint>"), F.floor(port / 64).cast("int"))
+    return F.coalesce(inside & (F.getbit(word, port % 64) == 1), F.lit(False))
+
+
+def with_port_names(packets: DataFrame, discovered: DataFrame) -> DataFrame:
+    """``packets`` with ``ports``, the discovered ports of their capture: one join on the capture, whose other side has a row per capture."""
+    return packets.join(small_side(port_names(discovered)), "capture", "left")
+
+
+def name_of(side: str) -> Column:
+    return F.try_element_at("ports", F.col(side))
+
+
 def mail_scope(packets: DataFrame, extra: DataFrame | None = None, exclude_ports=()) -> DataFrame:
     """Packets on a mail port (standard, or ``extra`` per capture) or with a mail layer.
 
@@ -20,13 +51,13 @@ def mail_scope(packets: DataFrame, extra: DataFrame | None = None, exclude_ports
     src, dst = F.col("src_port"), F.col("dst_port")
     listed = F.coalesce(src.isin(*KNOWN) | dst.isin(*KNOWN), F.lit(False)) | F.coalesce("has_mail_layer", F.lit(False))
     if extra is not None:
-        ports = extra.groupBy("capture").agg(F.collect_set("port").alias("extra_ports"))   # ports: 65,536 at most
-        packets = packets.join(small_side(ports), "capture", "left")
-        listed = listed | F.coalesce(F.array_contains("extra_ports", src) | F.array_contains("extra_ports", dst), F.lit(False))
+        bits = port_bits(extra)
+        packets = with_port_names(packets.filter(listed | touches(bits, src) | touches(bits, dst)), extra.select("capture", "port", F.lit("").alias("protocol")))
+        listed = listed | name_of("src_port").isNotNull() | name_of("dst_port").isNotNull()
     kept = packets.filter(listed)
     if exclude_ports:
         kept = kept.filter(~F.coalesce(src.isin(*exclude_ports) | dst.isin(*exclude_ports), F.lit(False)))
-    return kept.drop("extra_ports")
+    return kept.drop("ports")
 
 
 def payload_prefilter(packets: DataFrame) -> DataFrame:
@@ -91,19 +122,21 @@ def discovered_ports(packets: DataFrame) -> DataFrame:
 
 
 def dissect_discovered(packets: DataFrame, discovered: DataFrame) -> DataFrame:
-    """Packets of the second pass: discovered ports only, their payload read as dialogue."""
-    named = discovered
-    on_src = named.select("capture", F.col("port").alias("src_port"), F.col("protocol").alias("src_named"))
-    on_dst = named.select("capture", F.col("port").alias("dst_port"), F.col("protocol").alias("dst_named"))
-    joined = (mail_scope(packets.withColumn("has_mail_layer", F.lit(True)), exclude_ports=KNOWN)
-              .join(on_src, ["capture", "src_port"], "left").join(on_dst, ["capture", "dst_port"], "left")
-              .withColumn("named", F.coalesce("src_named", "dst_named")).filter(F.col("named").isNotNull()))
+    """Packets of the second pass: discovered ports only, their payload read as dialogue.
+
+    A bit test drops packets that no capture's discovery concerns before they meet the ports of their own capture; no packet is dealt by
+    port, so a busy port is no hot key. The column ``ports`` stays for the fold.
+    """
+    bits, src, dst = port_bits(discovered), F.col("src_port"), F.col("dst_port")
+    concerned = packets.filter((touches(bits, src) | touches(bits, dst)) & ~F.coalesce(src.isin(*KNOWN) | dst.isin(*KNOWN), F.lit(False)))
+    joined = (with_port_names(concerned, discovered).withColumn("named", F.coalesce(name_of("src_port"), name_of("dst_port")))
+              .filter(F.col("named").isNotNull()))
     spoken = F.col("payload_hex").isNotNull() & (F.col("payload_hex") != "") & ~F.coalesce("is_tls", F.lit(False))
     return joined.select(
         *[c for c in packets.columns if c not in ("layer_protocol", "mail_text", "has_mail_layer")],
         F.coalesce("layer_protocol", F.when(spoken, F.col("named"))).alias("layer_protocol"),
         F.coalesce("mail_text", F.when(spoken, mt.payload_text(F.col("payload_hex")))).alias("mail_text"),
-        (F.col("layer_protocol").isNotNull() | spoken).alias("has_mail_layer"))
+        (F.col("layer_protocol").isNotNull() | spoken).alias("has_mail_layer"), "ports")
 
 
 def merge_passes(first: DataFrame, extra: DataFrame) -> DataFrame:
@@ -123,7 +156,7 @@ def unclassified_tls(packets: DataFrame, sessions: DataFrame | None = None) -> D
         F.min_by(ends, F.when(F.col("src_port").isNotNull() & F.col("dst_port").isNotNull(), no)).alias("ends"),
         F.min_by(stated, F.when(hello & stated.isNotNull(), no)).alias("stated"),
         F.max_by(legacy, F.when(hello & legacy.isNotNull(), no)).alias("legacy"),
-        F.min_by("sni", F.when(F.col("sni") != "", no)).alias("server_name"),
+        F.min_by("server_name", F.when(F.col("server_name") != "", no)).alias("server_name"),
         F.coalesce(F.bool_or(F.array_contains("hs_types", "11")), F.lit(False)).alias("certificate_visible"))
     if sessions is not None:
         streams = streams.join(sessions.select("capture", "stream_id"), ["capture", "stream_id"], "left_anti")

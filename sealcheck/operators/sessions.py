@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sealcheck.functions import fields as fx, mailtext as mt, tls
-from sealcheck.session import materialise
+from sealcheck.operators.discovery import name_of, with_port_names
+from sealcheck.session import staged
 from sealcheck.tables import (
     EVIDENCE, IMPLICIT_TLS_PORTS, LONGEST_GAP_S, LONGEST_SESSION_S, RESPONSE_REACH,
 )
@@ -37,11 +38,9 @@ def packet_events(packets: DataFrame, discovered: DataFrame | None = None) -> Da
     df = packets.withColumns({"src_proto": fx.port_protocol(F.col("src_port")),
                               "dst_proto": fx.port_protocol(F.col("dst_port"))})
     if discovered is not None:
-        for side in ("src", "dst"):
-            found = discovered.select(
-                "capture", F.col("port").alias(f"{side}_port"), F.col("protocol").alias("found"))
-            df = df.join(found, ["capture", f"{side}_port"], "left") \
-                   .withColumn(f"{side}_proto", F.coalesce(f"{side}_proto", "found")).drop("found")
+        if "ports" not in df.columns:       # the second pass has met them already
+            df = with_port_names(df, discovered)
+        df = df.withColumns({f"{side}_proto": F.coalesce(f"{side}_proto", name_of(f"{side}_port")) for side in ("src", "dst")})
     text = F.col("mail_text")
     tls_packet = F.coalesce("is_tls", F.lit(False))
     hello_c = tls_packet & F.coalesce("client_hello", F.lit(False))
@@ -89,7 +88,8 @@ def long_streams(packets: DataFrame, split_above: int) -> DataFrame | None:
     """
     found = (packets.filter(F.col("stream_id").isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
              .filter(F.col("n") > split_above).select(KEY))
-    return materialise(found) if found.limit(1).count() else None
+    found = staged(found, "long")
+    return None if found.isEmpty() else found
 
 
 def _origin() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sealcheck.functions import fields as fx, tls
 from sealcheck.operators import certificates, discovery, features, rules, scoring, sessions, triage
-from sealcheck.session import materialise, small_side
+from sealcheck.session import materialise, staged
 
 
 def type_packets(raw: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def type_packets(raw: DataFrame) -> DataFrame:
         F.trim(F.split(fx.field_first(f, "handshake.extensions.supported.version"), ",")[0]).alias("supported_version"),
         F.trim(F.split(fx.field_first(f, "handshake.version"), ",")[0]).alias("legacy_version"),
         tls.cipher_values(f).alias("ciphers"), fx.sni_value(f).alias("sni"),
+        fx.server_name(f).alias("server_name"),
         fx.field_first(f, "key.share.group", "supported.groups", "named.group").alias("key_group"),
         fx.certificate_values(f).alias("cert_values"),
         F.col("flags.alert").alias("alert"), F.col("flags.failure").alias("failure"),
@@ -55,7 +56,7 @@ def scored_sessions(packets: DataFrame, certs: DataFrame | None = None, as_of_ep
 
 def two_pass_sessions(packets: DataFrame, **split) -> DataFrame:
     """Sessions on standard ports and on ports whose dialogue gave the protocol away."""
-    found = small_side(discovery.discovered_ports(packets))
+    found = staged(discovery.discovered_ports(packets), "ports")
     first = sessions.sessionise(discovery.mail_scope(packets), **split)
     extra = sessions.sessionise(discovery.dissect_discovered(packets, found), found, **split)
     return discovery.merge_passes(first, extra)

@@ -39,6 +39,7 @@ PACKET_SCHEMA = T.StructType([
     T.StructField("legacy_version", T.StringType()),
     T.StructField("ciphers", T.ArrayType(T.StringType())),
     T.StructField("sni", T.StringType()),
+    T.StructField("server_name", T.StringType()),
     T.StructField("key_group", T.StringType()),
     T.StructField("cert_values", T.ArrayType(T.StringType())),
     T.StructField("alert", T.BooleanType()),

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SMALL_SIDE_ROWS = 500_000
+SMALL_SIDE_BYTES = 64 << 20
 
 
 def build_session(app: str = "sealcheck", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,10 +63,11 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Broadcast ``df`` when its counted size allows it, else leave the join to AQE.
+def small_side(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast ``df`` when its measured size allows it, else leave the join to AQE, which splits hot keys of the other side.
 
-    The count runs on the materialised table, so the rows are computed once only.
+    The rows are computed once and measured as text, whatever arrays or maps they hold.
     """
-    table = materialise(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    table = staged(df, "side")
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]))))).first()[0] or 0
+    return F.broadcast(table) if size <= (SMALL_SIDE_BYTES if max_bytes is None else max_bytes) else table

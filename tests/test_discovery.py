@@ -84,3 +84,49 @@ def test_whole_analysis_has_a_row_for_every_capture(spark):
     assert rows["broken"]["error"] == "no packets" and "443" in rows["web"]["unclassified_note"] and rows["mail"]["unclassified_streams"] == 1
     session = done.sessions.first()
     assert session["protocol"] == "IMAP" and session["policy_risk_class"] == session["ml_class"] == "CRITICAL"
+
+
+def second_pass(spark, n=40):
+    """A capture that holds every packet of two busy unusual ports, one with other ports, and one where the port means nothing."""
+    hexed = lambda t: {"tcp.payload": t.encode().hex()}
+    busy = []
+    for i in range(n):
+        pair = [packet(2 * i + 1, 8143, 5001 + i, stream=str(i)), packet(2 * i + 2, 5001 + i, 8143, stream=str(i))]
+        pair[0]["_source"]["layers"]["tcp"].update(hexed("* OK [CAPABILITY IMAP4rev1] ready"))
+        pair[1]["_source"]["layers"]["tcp"].update(hexed("A001 LOGIN alice secret"))
+        busy += pair
+    other = [packet(1, 2525, 6000, stream="1"), packet(2, 6000, 2525, stream="1")]
+    other[0]["_source"]["layers"]["tcp"].update(hexed("220 mail.lab.test ESMTP ready"))
+    other[1]["_source"]["layers"]["tcp"].update(hexed("EHLO client"))
+    quiet = [packet(1, 8143, 7000, stream="1"), packet(2, 7000, 65535, stream="2"), packet(3, 2525, 0, stream="3")]
+    return typed(spark, busy, "busy").unionByName(typed(spark, other, "other")).unionByName(typed(spark, quiet, "quiet"))
+
+
+def test_second_pass_deals_no_packet_by_port(spark, monkeypatch):
+    packets = second_pass(spark)
+    discovered = discovery.discovered_ports(packets)
+    assert {tuple(r) for r in discovered.collect()} == {("busy", 8143, "IMAP"), ("other", 2525, "SMTP")}
+    extra = discovery.dissect_discovered(packets, discovered)
+    plan = extra._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(capture" not in plan.split("BroadcastExchange")[0]
+    got = sorted((r["capture"], r["packet_no"], r["layer_protocol"]) for r in extra.collect())
+    assert len(got) == 82 and {(c, p) for c, _, p in got} == {("busy", "IMAP"), ("other", "SMTP")}
+    monkeypatch.setattr("sealcheck.session.SMALL_SIDE_BYTES", -1)        # too large for a broadcast
+    again = discovery.dissect_discovered(packets, discovered)
+    assert sorted((r["capture"], r["packet_no"], r["layer_protocol"]) for r in again.collect()) == got
+    sessions_found = posture.two_pass_sessions(packets).groupBy("capture", "protocol").count().collect()
+    assert {tuple(r) for r in sessions_found} == {("busy", "IMAP", 40), ("other", "SMTP", 1)}
+
+
+def test_port_bits(spark):
+    ports = [0, 63, 64, 2525, 32767, 32768, 65535]
+    bits = discovery.port_bits(spark.createDataFrame([("c", p, "SMTP") for p in ports], "capture string, port int, protocol string"))
+    rows = spark.createDataFrame([(p,) for p in [*ports, 1, 62, 65, 2524, 65534, 70000, -1, None]], "p int")
+    assert {r["p"] for r in rows.where(discovery.touches(bits, F.col("p"))).collect()} == set(ports)
+
+
+def test_extra_ports_of_a_capture(spark):
+    packets = second_pass(spark, 2)
+    extra = spark.createDataFrame([("busy", 8143), ("other", 6000)], "capture string, port int")
+    kept = discovery.mail_scope(packets, extra).groupBy("capture").count().collect()
+    assert {tuple(r) for r in kept} == {("busy", 4), ("other", 2)}

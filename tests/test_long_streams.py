@@ -74,7 +74,7 @@ def sequential(rows):
 
 def test_runs_equal_whole_streams_and_the_loop(spark):
     rows = random_packets()
-    packets = spark.createDataFrame([tuple(r[f] for f in PACKET_SCHEMA.fieldNames()) for r in rows], PACKET_SCHEMA)
+    packets = spark.createDataFrame([tuple(r.get(f) for f in PACKET_SCHEMA.fieldNames()) for r in rows], PACKET_SCHEMA)
     whole = {r["stream_id"]: r.asDict(True) for r in sessions.sessionise(packets, split_above=None).collect()}
     runs = {r["stream_id"]: r.asDict(True) for r in sessions.sessionise(packets, split_above=15, run_packets=7).collect()}
     assert set(whole) == set(runs)
@@ -89,7 +89,7 @@ def test_runs_equal_whole_streams_and_the_loop(spark):
 
 def test_index_of_split_streams(spark):
     rows = random_packets(seed=9, streams=6, longest=50)
-    packets = spark.createDataFrame([tuple(r[f] for f in PACKET_SCHEMA.fieldNames()) for r in rows], PACKET_SCHEMA)
+    packets = spark.createDataFrame([tuple(r.get(f) for f in PACKET_SCHEMA.fieldNames()) for r in rows], PACKET_SCHEMA)
     cut = sessions.long_streams(packets, 10)
     got = sessions.ordered_rows(sessions.packet_events(packets), cut, 8).filter(~F.col("copy")).collect()
     seen = {}
