@@ -253,7 +253,39 @@ manifest AS (SELECT path, length FROM files WHERE regexp_matches(lower(path), '\
     AND NOT regexp_matches(path, '/(data|reports|__pycache__|\\.git|\\.venv)/'))"""
 SQL["S1_capture_manifest"] = f"WITH {FILES} SELECT path, length FROM manifest"
 SQL["S2_content_digest"] = "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes FROM documents"
-SQL["S3_packet_export_scan"] = f"{TO_PACKETS} SELECT frame AS packet_no, CASE WHEN stream_id % 2 = 1 THEN 'frame.frame.frame.number' ELSE 'frame.frame.number' END AS first_key, CAST(frame AS VARCHAR) AS first_value, CAST(0 AS INT) AS empty_values, CAST(stream_id AS VARCHAR) AS stream FROM packets"
+EXPORTED = [    # layer, key below it, value or list of values; in the order of the export
+    ("frame", "frame.number", "CAST(frame AS VARCHAR)"), ("frame", "frame.time.epoch", "CAST(ts_us // 1000000 AS VARCHAR) || '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0')"),
+    ("frame", "frame.len", "CAST(frame_len AS VARCHAR)"), ("ip", "ip.src", "src_ip"), ("ip", "ip.dst", "dst_ip"), ("tcp", "tcp.stream", "CAST(stream_id AS VARCHAR)"),
+    *[("tcp", f"tcp.{key}", f"CASE WHEN stream_id % 3 = 0 THEN '0x' || lower(to_hex({column})) ELSE CAST({column} AS VARCHAR) END") for key, column in (("srcport", "src_port"), ("dstport", "dst_port"))],
+    ("tcp", "tcp.len", "'20'"), ("tcp", "tcp.analysis.retransmission", "CASE WHEN retransmission THEN '1' END"),
+    *[(layer, f"{layer}.{key}", f"CASE WHEN spoken = '{protocol}' AND mail_text IS NOT NULL {where} THEN {value} END") for protocol, layer in (("SMTP", "smtp"), ("IMAP", "imap"), ("POP3", "pop"))
+      for key, where, value in (("request", "AND src_port > 30000", "mail_text"), ("response", "AND NOT src_port > 30000", "mail_text"), ("data.fragment", "", "'USER never read'"))],
+    *[("tls", key, f"CASE WHEN is_tls {where} THEN {value} END") for key, where, value in (
+        ("tls.record.content.type", "", "CASE WHEN hs_type IS NOT NULL THEN '22' ELSE '23' END"),
+        ("tls.handshake.type", "AND hs_type IS NOT NULL", "CASE WHEN n_certs > 0 THEN '2,11,12' ELSE CAST(hs_type AS VARCHAR) END"),
+        ("tls.handshake.version", "AND hs_type IS NOT NULL", "legacy"), ("tls.handshake.ciphersuites.length", "AND hs_type IS NOT NULL", "'8'"),
+        ("tls.handshake.ciphersuite", "", "string_split(suites, ',')"), ("tls.handshake.extensions.supported.version", "", "string_split(supported, ',')"),
+        ("tls.handshake.extensions.server.name.len", "AND sni IS NOT NULL", "'13'"), ("tls.handshake.extensions.server.name", "", "sni"),
+        ("tls.handshake.extensions.key.share.group", "", "key_group"), ("tls.handshake.certificates.length", "AND n_certs > 0", "'120'"),
+        ("tls.handshake.certificate", "", "CASE WHEN n_certs >= 2 THEN [hex(repeat(leaf_text, 8)), hex(repeat(issuer_text, 8))] WHEN n_certs >= 1 THEN [hex(repeat(leaf_text, 8))] END"),
+        ("tls.alert.message.desc", "AND alert", "CASE WHEN failure THEN 'Handshake Failure' ELSE 'Close Notify' END"))],
+]
+LISTS = ("tls.handshake.ciphersuite", "tls.handshake.extensions.supported.version", "tls.handshake.certificate")
+
+
+def exported_pairs(alias: bool) -> str:
+    """All key=value pairs of a packet, in order; ``alias`` is the spelling with underscores, which repeats the layer."""
+    parts = []
+    for layer, key, value in EXPORTED:
+        full = f"{layer}.{layer}.{key}" if alias else f"{layer}.{key}"
+        parts.append(f"coalesce(list_transform({value}, lambda v: '{full}=' || v), [])" if key in LISTS
+                     else f"list_filter(['{full}=' || {value}], lambda v: v IS NOT NULL)")
+    return "flatten([" + ", ".join(parts) + "])"
+
+
+SQL["S3_packet_export_scan"] = f"""{TO_PACKETS}, exported AS (SELECT capture, row_number() OVER (PARTITION BY capture ORDER BY frame) AS packet_no,
+    CASE WHEN stream_id % 2 = 1 THEN {exported_pairs(True)} ELSE {exported_pairs(False)} END AS pairs FROM packets)
+  SELECT capture, packet_no, CAST(len(pairs) AS INT) AS n_fields, array_to_string(pairs, ';') AS fields FROM exported"""
 SQL["S4_field_subset_scan"] = f"{TO_PACKETS} SELECT suite, count(*) AS n FROM (SELECT unnest(string_split(suites, ',')) AS suite FROM packets WHERE is_tls AND suites IS NOT NULL) u GROUP BY suite"
 SQL["S5_mail_scope"] = f"{TO_PACKETS} SELECT capture, count(*) AS packets, CAST(sum(frame_len) AS BIGINT) AS bytes FROM packets WHERE (src_port IN {STANDARD} OR dst_port IN {STANDARD}) AND src_port <> 995 AND dst_port <> 995 GROUP BY capture"
 SUMMARY = f"""
@@ -300,8 +332,11 @@ SQL["S10_resume_pending"] = f"WITH {FILES} SELECT path FROM manifest WHERE path
 ANALYSES = """analyses AS (SELECT 'a' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS analysis_id, source || '-' || (doc_id % 17) || '.pcapng' AS source_filename,
   (doc_id * 7919) % 1000003 AS created_at, CASE WHEN doc_id % 5 = 0 THEN '3.1.0' ELSE '3.2.0' END AS analyzer_version, n_chars AS size_bytes FROM documents)"""
 SQL["S11_load_analysis"] = f"WITH {ANALYSES} SELECT analysis_id, source_filename, size_bytes FROM analyses WHERE analysis_id = 'a000000042'"
-SQL["S12_dataset_release"] = scored("""SELECT CASE WHEN capture LIKE '%1' OR capture LIKE '%4' THEN 'kept' ELSE 'dropped' END AS name, count(*) AS n FROM sc GROUP BY 1
-  UNION ALL SELECT 'label ' || policy_risk_class, count(*) FROM sc WHERE capture LIKE '%1' OR capture LIKE '%4' GROUP BY 1""")
+SHIPPED = "(capture LIKE '%1' OR capture LIKE '%4')"
+CAPTURE_TEXT = "string_agg(session_id || ',' || protocol || ',' || policy_risk_class, chr(10) ORDER BY session_id || ',' || protocol || ',' || policy_risk_class) || chr(10)"
+SQL["S12_dataset_release"] = scored(f"""SELECT CASE WHEN {SHIPPED} THEN 'kept' ELSE 'dropped' END AS name, count(*) AS n, NULL::VARCHAR AS sha256 FROM sc GROUP BY 1
+  UNION ALL SELECT 'label ' || policy_risk_class, count(*), NULL FROM sc WHERE {SHIPPED} GROUP BY 1
+  UNION ALL SELECT 'file ' || capture, CAST(octet_length(encode({CAPTURE_TEXT})) AS BIGINT), sha256({CAPTURE_TEXT}) FROM sc WHERE {SHIPPED} GROUP BY capture""")
 
 # ------------------------------------------------------------------ T
 SQL["T1_norm_key"] = "SELECT upper(event_type) || '_Frame.Len_X' AS raw, replace(lower(upper(event_type) || '_Frame.Len_X'), '_', '.') AS norm, count(*) AS n FROM events GROUP BY event_type"
@@ -469,7 +504,7 @@ SQL["M2_training_rows"] = scored(f", {TRAIN} SELECT capture, session_id, copy_no
 SQL["M3_stratified_split"] = scored("""SELECT capture, session_id, policy_risk_class, row_number() OVER (PARTITION BY policy_risk_class ORDER BY md5(capture || '|' || session_id || '|42'))
   <= ceil(count(*) OVER (PARTITION BY policy_risk_class) * CAST(0.8 AS DOUBLE)) AS is_train FROM sc""")
 SQL["M4_class_weights"] = scored(f", {TRAIN}, c AS (SELECT policy_risk_class AS label, count(*) AS n FROM rep GROUP BY 1) SELECT label, round_even(CAST((SELECT sum(n) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM c")
-SQL["M8_rule_fallback"] = scored(f"SELECT capture, session_id, CASE WHEN server_port <> 25 THEN ml_class ELSE policy_risk_class END AS ml_class, CASE WHEN server_port <> 25 THEN 'synthetic-v2' ELSE 'rule-fallback (not_predicted)' END AS ml_version, CASE WHEN server_port = 25 THEN {q(FALLBACK_NOTE)} END AS ml_note FROM sc")
+SQL["M8_rule_fallback"] = scored(f"SELECT capture, session_id, CASE WHEN server_port <> 25 THEN ml_class ELSE policy_risk_class END AS ml_class, CASE WHEN server_port <> 25 THEN 'synthetic-v2' ELSE 'rule-fallback (synthetic-v2)' END AS ml_version, CASE WHEN server_port = 25 THEN {q(FALLBACK_NOTE + ' ML prediction fallback: no prediction')} END AS ml_note FROM sc")
 SQL["M9_explanations"] = scored("""SELECT sc.capture, sc.session_id, coalesce(t.titles, '') AS titles FROM sc LEFT JOIN (SELECT capture, session_id, string_agg(title, ';' ORDER BY pos) AS titles FROM
   (SELECT *, row_number() OVER (PARTITION BY capture, session_id ORDER BY pos) AS k FROM fnd WHERE severity NOT IN ('INFO', 'LOW')) x WHERE k <= 5 GROUP BY ALL) t USING (capture, session_id)""")
 SQL["M10_confusion"] = scored("SELECT policy_risk_class, " + ", ".join(f'count(*) FILTER (ml_class = {q(c)}) AS "{c}"' for c in ("CRITICAL", "HIGH", "LOW", "MEDIUM")) + " FROM sc GROUP BY policy_risk_class")
@@ -529,7 +564,7 @@ exp AS (SELECT m.* EXCLUDE (profile), m.profile, pv, pfs, coalesce(pcert, FALSE)
     FROM modes m LEFT JOIN profiles p ON p.profile = m.profile)"""
 MATCHED = f"""{EXPECTED},
 rnd AS (SELECT exp.*, unnest(range(1, rounds + 1)) AS round FROM exp),
-em AS (SELECT rnd.*, row_number() OVER (PARTITION BY capture, protocol, server_port, client_port ORDER BY mode, coalesce(profile, ''), round) AS k FROM rnd),
+em AS (SELECT rnd.*, row_number() OVER (PARTITION BY capture, protocol, server_port, client_port ORDER BY stream_id, mode, coalesce(profile, ''), round) AS k FROM rnd),
 am AS (SELECT *, row_number() OVER (PARTITION BY capture, protocol, server_port, client_port ORDER BY first_frame, session_id) AS k FROM sc),
 mt AS (SELECT em.capture, em.grp, em.protocol, em.server_port, em.client_port, em.mode, em.profile, em.round, em.k, em.unseen, em.want, em.ban, em.exact, em.band, em.pv, em.pfs, em.pcert, am.session_id, am.session_id IS NOT NULL AS ok_matched,
     am.code_list, am.codes, am.tls_version, am.tls_detected, am.forward_secrecy AS fs, am.cert_present, am.policy_risk_class AS pc, am.ml_class AS mc, am.cipher_suite

@@ -17,7 +17,7 @@ from sealcheck.operators import (
 )
 from sealcheck.plans import posture
 from sealcheck.session import materialise, use_checkpoint_dir
-from sealcheck.sources import captures, packets, sinks
+from sealcheck.sources import captures, digests, packets, sinks
 from sealcheck.tables import FEATURES, RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,10 +118,13 @@ def _(spark, sf):
 
 @query("S3_packet_export_scan")
 def _(spark, sf):
-    d = dissected(spark, sf)
-    return d.select("packet_no", F.col("fields")[0]["key"].alias("first_key"), F.col("fields")[0]["value"].alias("first_value"),
-                    F.size(F.filter("fields", lambda f: f["value"] == "")).alias("empty_values"),
-                    fx.field_first(F.col("fields"), "tcp.stream").alias("stream"))
+    path = scratch(spark, "export")
+    text_rows = exports.export_documents(spark, sf).repartition("capture").sortWithinPartitions("capture", "packet_no")
+    text_rows.select("capture", "json").write.partitionBy("capture").text(path)
+    read = packets.read_packets(spark, path)
+    pairs = F.transform("fields", lambda f: F.concat(f["key"], F.lit("="), f["value"]))
+    return read.select(F.regexp_extract("capture", r"capture=([^/]+)/", 1).alias("capture"), "packet_no", F.size("fields").alias("n_fields"),
+                       F.array_join(pairs, ";").alias("fields"))
 
 
 @query("S4_field_subset_scan")
@@ -191,15 +194,26 @@ def _(spark, sf):
     return sinks.load_analysis(spark, path, "a000000042").select("analysis_id", "source_filename", "size_bytes")
 
 
+def released_files(spark, table):
+    """A file per capture with a line per session, written and digested in ranges."""
+    path = scratch(spark, "files")
+    lines = table.select("capture", F.concat_ws(",", "session_id", "protocol", "risk_label").alias("line"))
+    lines.repartition("capture").sortWithinPartitions("capture", "line").write.partitionBy("capture").text(path)
+    named = F.regexp_extract("path", r"capture=([^/]+)/part-", 1)
+    return digests.file_digests(spark, path).withColumn("capture", named).where("capture <> '' AND path NOT LIKE '%.crc'")
+
+
 @query("S12_dataset_release")
 def _(spark, sf):
     table = materialise(sinks.feature_table(scored(spark, sf)))
     shipped = table.select("capture").distinct().filter(F.col("capture").endswith("1") | F.col("capture").endswith("4"))
-    parts = sinks.release(table, table.select("capture").distinct(), shipped)
+    parts = sinks.release(table, table.select("capture").distinct(), shipped, released_files(spark, table))
     totals = parts["totals"].select(F.explode(F.array(
         F.struct(F.lit("kept").alias("name"), F.col("kept").alias("n")),
         F.struct(F.lit("dropped").alias("name"), F.col("dropped").alias("n")))).alias("t")).select("t.*")
-    return totals.unionByName(parts["labels"].select(F.concat(F.lit("label "), "risk_label").alias("name"), "n"))
+    counted = totals.unionByName(parts["labels"].select(F.concat(F.lit("label "), "risk_label").alias("name"), "n"))
+    return counted.withColumn("sha256", F.lit(None).cast("string")).unionByName(
+        parts["files"].select(F.concat(F.lit("file "), "capture").alias("name"), F.col("length").alias("n"), "sha256"))
 
 
 # ------------------------------------------------------------------ T: look-ups
@@ -762,7 +776,7 @@ def declared(spark, sf):
     return view.select("capture", F.when(F.col("stream_id") % 5 == 0, "large").otherwise("singles").alias("group"),
                        "protocol", "server_port", "client_port", mode.alias("mode"), profile.alias("profile"),
                        (F.col("stream_id") % 4 == 0).alias("seen_in_training"),
-                       F.when(F.col("stream_id") % 50 == 7, 2).otherwise(1).alias("rounds"))
+                       F.when(F.col("stream_id") % 50 == 7, 2).otherwise(1).alias("rounds"), F.col("stream_id").alias("entry_no"))
 
 
 def expectation(spark, sf):

@@ -14,7 +14,7 @@ from sealcheck.operators.forest import CLASSES
 from sealcheck.operators.ranks import exact_percentiles, lowest_share
 from sealcheck.operators.scoring import risk_band
 from sealcheck.tables import (
-    ALL_INSIDE, CAPTURE_SUFFIXES, FALLBACK_NOTE, FEATURES, MODEL_VERSION, STALE_NOTE, RISK_BANDS, TRAINING_CAP, TRAINING_FOLDERS, TRAINING_REPEAT,
+    ALL_INSIDE, CAPTURE_SUFFIXES, FALLBACK_NOTE, FEATURES, LOAD_FAILED_NOTE, MODEL_VERSION, PREDICTION_NOTE, STALE_NOTE, RISK_BANDS, TRAINING_CAP, TRAINING_FOLDERS, TRAINING_REPEAT,
 )
 
 
@@ -99,25 +99,30 @@ def schema_fingerprint() -> str:
     return hashlib.sha256(payload.encode()).hexdigest()[:16]
 
 
-def rule_fallback(scored: DataFrame, predictions: DataFrame | None = None, fingerprint: str | None = None) -> DataFrame:
+def rule_fallback(scored: DataFrame, predictions: DataFrame | None = None, fingerprint: str | None = None, load_error: str | None = None) -> DataFrame:
     """Model class where a current model predicted one, the rule class everywhere else, which says why.
 
+    ``load_error`` names what kept a saved model from being read, ``predictions.ml_error`` what kept a session from being predicted.
     Fallback rows have no confidence and no anomaly score and are not anomalous.
     """
-    current = predictions is not None and fingerprint == schema_fingerprint()
+    current = predictions is not None and not load_error and fingerprint == schema_fingerprint()
     if current:
         keys = ["capture", "session_id"]
         facts = [c for c in ("ml_confidence", "ml_anomaly_score", "ml_anomalous") if c in predictions.columns]
-        joined = scored.drop(*facts).join(predictions.select(*keys, F.col("ml_class").alias("predicted"), *facts), keys, "left")
+        failed = F.col("ml_error") if "ml_error" in predictions.columns else F.lit(None).cast("string")
+        joined = scored.drop(*facts).join(predictions.select(*keys, F.col("ml_class").alias("predicted"), failed.alias("failed"), *facts), keys, "left")
     else:
-        joined = scored.withColumn("predicted", F.lit(None).cast("string"))
-    state = "not_loaded" if predictions is None else "not_predicted" if current else "stale"
-    note = F.lit(FALLBACK_NOTE if state != "stale" else f"{FALLBACK_NOTE} {STALE_NOTE}")
+        joined = scored.withColumns({"predicted": F.lit(None).cast("string"), "failed": F.lit(None).cast("string")})
+    state = "load_failed" if load_error else "not_loaded" if predictions is None else MODEL_VERSION if current else "stale"
+    why = {"load_failed": f" {LOAD_FAILED_NOTE}{load_error}", "stale": f" {STALE_NOTE}"}.get(state, "")
+    note = F.lit(FALLBACK_NOTE + why)
+    if current:
+        note = F.concat(note, F.lit(f" {PREDICTION_NOTE}"), F.coalesce("failed", F.lit("no prediction")))
     return joined.select(
         "*", F.coalesce("predicted", "policy_risk_class").alias("ml_class"),
         F.when(F.col("predicted").isNotNull(), MODEL_VERSION).otherwise(f"rule-fallback ({state})").alias("ml_version"),
         F.when(F.col("predicted").isNull(), note).alias("ml_note"),
-    ).drop("predicted")
+    ).drop("predicted", "failed")
 
 
 def explanations(scored: DataFrame, limit: int = 5) -> DataFrame:

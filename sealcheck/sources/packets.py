@@ -6,13 +6,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from sealcheck.schemas import PACKET_FIELDS_SCHEMA
+from sealcheck.schemas import FIELD, PACKET_FIELDS_SCHEMA
+from sealcheck.session import small_side, staged
 from sealcheck.tables import UNREADABLE_PACKET
 
 PRETTY_SEPARATOR = "\n  },"
-READ_RUN = 1_000_000
 
 
 def _leaves(value, key: str, found: list) -> None:
@@ -57,40 +57,62 @@ def flatten_packets(documents: DataFrame) -> DataFrame:
     return documents.select("capture", "packet_no", "json").mapInPandas(flatten, PACKET_FIELDS_SCHEMA)
 
 
-def number_packets(lines: DataFrame) -> DataFrame:
-    """packet_no = position in the file, from (capture, block, line_no): block sizes, then offsets."""
-    blocks = lines.groupBy("capture", "block").agg(F.count(F.lit(1)).alias("size"))
+_PLACED_SCHEMA = T.StructType([T.StructField("capture", T.StringType()), T.StructField("block", T.LongType()), T.StructField("at", T.LongType()),
+                               T.StructField("fields", T.ArrayType(FIELD))])
+
+
+def flatten_lines(lines: DataFrame) -> DataFrame:
+    """(capture, block, json) as the scan gives it to (capture, block, at, fields): ``at`` counts within a block of a file.
+
+    A task reads its blocks one after the other and in order, so the count needs no shuffle.
+    """
+    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, at = None, 0
+        for batch in batches:
+            places = []
+            for block in zip(batch["capture"], batch["block"]):
+                here, at = block, at + 1 if block == here else 1
+                places.append(at)
+            yield pd.DataFrame({"capture": batch["capture"], "block": batch["block"], "at": places, "fields": batch["json"].map(_packet_fields)})
+
+    return lines.select("capture", "block", "json").mapInPandas(flatten, _PLACED_SCHEMA)
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """(capture, block, json) to PACKET_FIELDS_SCHEMA, packet_no = position in the file; unreadable text has no fields.
+
+    The text is scanned once and never shuffled: its flattened rows are staged, two narrow columns of them give the size of every block,
+    and the offsets of the blocks, a row each, meet the rows again.
+    """
+    held = staged(flatten_lines(lines), "export")
+    blocks = held.groupBy("capture", "block").agg(F.max("at").alias("size"))
     before = W.partitionBy("capture").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = blocks.select("capture", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(W.partitionBy("capture", "block").orderBy("line_no"))
-    return lines.join(offsets, ["capture", "block"]).withColumn("packet_no", F.col("offset") + inside)
+    return held.join(small_side(offsets), ["capture", "block"]).select("capture", (F.col("offset") + F.col("at")).alias("packet_no"), "fields")
 
 
-def read_packet_text(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """(capture, packet_no, json) from exported JSON. The capture is the full path: files of one name stay apart.
+def packet_lines(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """(capture, block, json) of exports that split. The capture is the full path: files of one name stay apart.
 
-    ``lines``: one packet per line. ``pretty``: the dissector's indented array, split where a
-    packet object closes; both split large files. ``document``: any other JSON array, or an
-    object with ``packets``, parsed per file.
+    ``lines``: one packet per line. ``pretty``: the dissector's indented array, split where a packet object closes.
     """
-    name = F.col("_metadata.file_path")
-    if layout == "document":
-        whole = spark.read.text(path, wholetext=True).select(name.alias("capture"), "value")
-        items = F.coalesce(
-            F.from_json("value", "array<string>"), F.from_json(F.get_json_object("value", "$.packets"), "array<string>"))
-        rows = whole.select("capture", F.posexplode(items).alias("at", "json"))
-        return rows.select("capture", (F.col("at") + 1).cast("bigint").alias("packet_no"), "json")
     reader = spark.read.option("lineSep", PRETTY_SEPARATOR) if layout == "pretty" else spark.read
-    place = F.col("_metadata.file_block_start")
-    lines = reader.text(path).select(name.alias("capture"), place.alias("block"),
-                                     F.monotonically_increasing_id().alias("line_no"), "value")
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("capture"), F.col("_metadata.file_block_start").alias("block"), "value")
     if layout == "pretty":
         opened = F.regexp_replace("value", r"^\s*\[", "")
         closed = F.when(opened.rlike(r"\}\s*\]\s*$"), F.regexp_replace(opened, r"\]\s*$", "")) \
                   .otherwise(F.concat(opened, F.lit("}")))
         lines = lines.withColumn("value", closed)
-    kept = lines.filter(F.col("value").contains("{"))
-    return number_packets(kept).select("capture", "packet_no", F.col("value").alias("json"))
+    return lines.filter(F.col("value").contains("{")).withColumnRenamed("value", "json")
+
+
+def packet_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(capture, packet_no, json) of any other JSON array, or of an object with ``packets``, parsed per file."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("capture"), "value")
+    items = F.coalesce(
+        F.from_json("value", "array<string>"), F.from_json(F.get_json_object("value", "$.packets"), "array<string>"))
+    rows = whole.select("capture", F.posexplode(items).alias("at", "json"))
+    return rows.select("capture", (F.col("at") + 1).cast("bigint").alias("packet_no"), "json")
 
 
 def split_unreadable(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,14 +122,21 @@ def split_unreadable(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("capture").alias("path"), "packet_no", F.lit(UNREADABLE_PACKET).alias("error"))
 
 
+def read_export(spark: SparkSession, path: str, layout: str = "lines") -> tuple[DataFrame, DataFrame]:
+    """(readable packets, failures) of exported JSON, read once. Layouts ``lines`` and ``pretty`` split large files, ``document`` does not."""
+    if layout == "document":
+        return split_unreadable(staged(flatten_packets(packet_documents(spark, path)), "export"))
+    return split_unreadable(numbered(packet_lines(spark, path, layout)))
+
+
 def read_packets(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """The readable packets; ``read_failures`` lists the rest."""
-    return split_unreadable(flatten_packets(read_packet_text(spark, path, layout)))[0]
+    """The readable packets; ``read_failures`` lists the rest, ``read_export`` gives both from one scan."""
+    return read_export(spark, path, layout)[0]
 
 
 def read_failures(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """(path, packet_no, error) of the text that is no packet."""
-    return split_unreadable(flatten_packets(read_packet_text(spark, path, layout)))[1]
+    return read_export(spark, path, layout)[1]
 
 
 def read_packet_columns(spark: SparkSession, path: str, columns: list[str], multi: tuple[str, ...] = ()) -> DataFrame:

@@ -73,15 +73,21 @@ def load_analysis(spark: SparkSession, path: str, analysis_id: str) -> DataFrame
     return spark.read.parquet(path).filter(F.col("analysis_id") == analysis_id)
 
 
-def release(features: DataFrame, captures: DataFrame, included: DataFrame) -> dict[str, DataFrame]:
-    """Rows of shipped captures in both tables, rows dropped, label distribution."""
-    wanted = included.select("capture")
+def release(features: DataFrame, captures: DataFrame, included: DataFrame, files: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Rows of shipped captures in both tables, rows dropped, label distribution, and size and digest of every shipped file.
+
+    ``files`` (capture, path, length, sha256) lists capture files as ``digests.file_digests`` finds them.
+    """
+    wanted = included.select("capture").distinct()
     rows = features.join(wanted, "capture", "left_semi")
-    flagged = features.join(wanted.distinct().withColumn("shipped", F.lit(True)), "capture", "left")
-    return {
+    flagged = features.join(wanted.withColumn("shipped", F.lit(True)), "capture", "left")
+    parts = {
         "session_features": rows,
         "captures": captures.join(wanted, "capture", "left_semi"),
         "totals": flagged.agg(F.count_if(F.col("shipped")).alias("kept"),
                               F.count_if(F.col("shipped").isNull()).alias("dropped")),
         "labels": rows.groupBy(F.coalesce("risk_label", F.lit("?")).alias("risk_label")).agg(F.count(F.lit(1)).alias("n")),
     }
+    if files is not None:
+        parts["files"] = files.join(wanted, "capture", "left_semi").select("capture", "path", "length", "sha256")
+    return parts

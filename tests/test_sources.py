@@ -31,9 +31,9 @@ def test_large_pretty_file_is_split_and_numbered(spark, tmp_path):
     (tmp_path / "big.json").write_text(json.dumps(many, indent=2))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        texts = packets.read_packet_text(spark, str(tmp_path), "pretty")
-        assert texts.rdd.getNumPartitions() >= 1
-        rows = packets.flatten_packets(texts).collect()
+        texts = packets.packet_lines(spark, str(tmp_path), "pretty")
+        assert texts.select("block").distinct().count() > 4
+        rows = packets.numbered(texts).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(r["packet_no"] for r in rows) == list(range(1, 400))
