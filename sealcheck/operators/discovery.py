@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sealcheck.functions import mailtext as mt, tls
-from sealcheck.functions.fields import port_protocol
 from sealcheck.session import materialise, small_side
 from sealcheck.tables import MAIL_PORTS, MAIL_VOCABULARY, MIN_VOCABULARY_SCORE
 
