@@ -259,6 +259,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, comp) after more links between the components ``comps`` (rep, comp); only what the links touch is walked again."""
+    def of(side: str) -> DataFrame:
+        return comps.select(F.col("rep").alias(side), F.col("comp").alias(f"comp_{side}"))
+
+    between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+               .select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a <> b"))
+    joined = common.stage(components(between), "merged")
+    old = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("into")), "comp", "left").select("rep", F.coalesce("into", "comp").alias("comp"))
+    new = joined.join(comps.select(F.col("rep").alias("node")), "node", "left_anti").select(F.col("node").alias("rep"), "comp")
+    return common.stage(old.union(new), "comps")
+
+
 def join_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, frequent_above: int = FREQUENT,
                    rounds: int = ROUNDS, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
@@ -287,9 +300,8 @@ def _joined(docs: DataFrame, id_column: str, text: str, percent: int, frequent_a
 
     pairs = (live.where(F.col("rep") != F.col("lead.rep")).where(_size_fits(F.col("n"), F.col("lead.n"), percent))
              .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")))
-    links = verified(pairs, rep_facts, sets_of, percent)
+    comps = components(verified(pairs, rep_facts, sets_of, percent)).withColumnRenamed("node", "rep")
     for number in range(1, rounds + 1):
-        comps = components(links).withColumnRenamed("node", "rep")
         placed = live.select("sig", "rep", "n").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         per_comp = placed.groupBy("sig", "comp").agg(F.count("*").alias("held"))
         main = (per_comp.groupBy("sig").agg(F.max(F.struct("held", "comp")).alias("top"), F.count("*").alias("comps"))
@@ -308,8 +320,7 @@ def _joined(docs: DataFrame, id_column: str, text: str, percent: int, frequent_a
             same_sig = rest["sig"] == other["sig"]
             pairs = (rest.join(other, same_sig & apart & may_link(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent))
                      .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")))
-        links = links.union(verified(pairs, rep_facts, sets_of, percent))
-    comps = components(links).withColumnRenamed("node", "rep")
+        comps = merged(comps, verified(pairs, rep_facts, sets_of, percent))
     common.discard(live, rep_facts)
     named = classes.join(comps, "rep", "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("class_component"))
     return (facts.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
