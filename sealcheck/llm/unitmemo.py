@@ -8,6 +8,8 @@ import numpy as np
 
 #: Distinct units a worker remembers; beyond it the memo starts anew, which costs time and changes no result.
 MEMO_UNITS = 1_000_000
+#: Bytes of their texts likewise.
+MEMO_BYTES = 64 << 20
 
 
 class UnitMemo:
@@ -25,7 +27,8 @@ class UnitMemo:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at, self.size, self.text_at, self.text_size = (np.zeros(0, np.int64) for _ in range(4))
+        # narrow columns: the limits keep the pools far below 2**32 entries
+        self.at, self.size, self.text_at, self.text_size = (np.zeros(0, np.uint32) for _ in range(4))
         self.ids, self.text = _Pool(np.uint32), _Pool(np.uint8)
 
     def _add(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> None:
@@ -35,14 +38,15 @@ class UnitMemo:
         at, text_at = self.ids.add(ids), self.text.add(self._fold[data[ragged(start, length)]])
         for name, new in (("keys", keys), ("at", at + np.cumsum(sizes) - sizes), ("size", sizes), ("text_at", text_at + np.cumsum(length) - length),
                           ("text_size", length)):
-            setattr(self, name, np.insert(getattr(self, name), place, new))
+            held = getattr(self, name)
+            setattr(self, name, np.insert(held, place, new.astype(held.dtype)))
 
     def ids_of(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units end to end, ids per unit) for the units at ``start`` to ``end`` of ``data``."""
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > self.limit:
+        if len(self.keys) + len(distinct) > self.limit or self.text.used > MEMO_BYTES:
             self._clear()
         place = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -53,7 +57,7 @@ class UnitMemo:
             self._add(distinct[~known], start[new], end[new], data)
             place = np.searchsorted(self.keys, distinct)
         place = place[back]
-        at, size = self.at[place], self.size[place]
+        at, size = self.at[place].astype(np.int64), self.size[place].astype(np.int64)
         other = self._differs(place, start, end, data)
         if not len(other):
             return self.ids.held[ragged(at, size)], size
@@ -66,7 +70,8 @@ class UnitMemo:
         length = end - start
         wrong = length != self.text_size[place]
         same = np.flatnonzero(~wrong)
-        unequal = self._fold[data[ragged(start[same], length[same])]] != self.text.held[ragged(self.text_at[place[same]], length[same])]
+        there = self.text_at[place[same]].astype(np.int64)
+        unequal = self._fold[data[ragged(start[same], length[same])]] != self.text.held[ragged(there, length[same])]
         if unequal.any():
             wrong[same[np.searchsorted(np.cumsum(length[same]), np.flatnonzero(unequal), "right")]] = True
         return np.flatnonzero(wrong)
@@ -81,8 +86,9 @@ class _Pool:
     def add(self, values: np.ndarray) -> int:
         """The place of the first value."""
         first, self.used = self.used, self.used + len(values)
-        while self.used > len(self.held):
-            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        if self.used > len(self.held):
+            more = max(self.used - len(self.held), len(self.held) // 4)
+            self.held = np.concatenate([self.held, np.zeros(more, self.held.dtype)])
         self.held[first:self.used] = values
         return first
 
