@@ -81,3 +81,11 @@ def test_nothing_to_grow_on(spark, training):
 def test_poisson_steps():
     steps = forest.poisson_steps()
     assert steps == sorted(steps) and abs(steps[0] / 2**32 - 0.36788) < 1e-5 and len(feature_columns()) == 26
+
+
+def test_the_driver_gets_records_and_no_names(training):
+    model = triage.fit_risk(training, trees=TREES)
+    packed = model.packed_trees().collect()
+    assert len(packed) == TREES
+    assert sum(len(r["nodes"]) for r in packed) == 26 * model.nodes.count()
+
