@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sealcheck.plans import posture
@@ -103,3 +104,15 @@ def test_files_of_one_name_stay_apart_and_broken_lines_are_failures(spark, tmp_p
     assert sorted((r["path"].split("/")[-2], r["packet_no"]) for r in packets.read_failures(spark, path).collect()) == [("a", 2), ("b", 2)]
     found = posture.scored_sessions(posture.type_packets(rows)).select("server_port", "packet_count").collect()
     assert sorted(map(tuple, found)) == [(25, 2), (143, 2)]
+
+
+def test_fields_are_laid_out_in_small_pieces():
+    texts = [json.dumps({"_source": {"layers": {"A_b": [str(i), {"c": i}], "tcp": {"tcp.len": i % 7}}}}) for i in range(1_300)]
+    texts[3], texts[4] = "{broken", "[]"
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["json"])
+    pieces = list(packets._pieces([batch]))
+    assert max(p.num_rows for p in pieces) <= packets.FIELD_ROWS
+    got = [row for p in pieces for row in packets._fields_of(p["json"]).to_pylist()]
+    want = [None if t == "{broken" else [] if t == "[]" else [{"key": "a.b", "value": str(i)}, {"key": "a.b.c", "value": str(i)}, {"key": "tcp.tcp.len", "value": str(i % 7)}]
+            for i, t in enumerate(texts)]
+    assert got == want
