@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sealcheck.operators.features import feature_columns
 from sealcheck.operators.ranks import exact_percentiles
-from sealcheck.session import materialise
+from sealcheck.session import staged
 
 TREES, SAMPLE, CONTAMINATION = 180, 256, 0.08
 _NODE = "tree int, node int, feature int, cut double, left int, right int, depth_value double"
@@ -85,7 +85,7 @@ def fit_anomaly(rows: DataFrame, identity: list[str], trees: int = TREES, sample
                 contamination: float = CONTAMINATION, seed: int = 42) -> AnomalyModel:
     """Grow the forest on ``rows`` (the LOW ones) and place the contamination threshold."""
     columns = feature_columns()
-    rows = materialise(rows.select(*identity, *columns))       # counted, sampled and scored
+    rows = staged(rows.select(*identity, *columns), "sampled")       # counted, sampled and scored
     n = rows.count()
     size = min(sample, n)
     key = F.concat_ws("|", *identity)

@@ -24,6 +24,14 @@ def test_every_statement_has_a_query():
     assert own == {"M6_fit_anomaly", "M7_score_anomaly", "P1_analyse"}
 
 
+@pytest.mark.parametrize("name", ["E1_match_expected", "E5_score_summary", "M5_score_risk", "M7_score_anomaly", "M8_rule_fallback", "M12_transfer_test",
+                                  "M14_novelty_session", "M15_novelty_capture"])
+def test_sessions_are_computed_once(spark, small_dir, name):
+    """What a query reads several times is staged: its own plan has no packets left."""
+    files = entry.queries()[name](spark, small_dir).inputFiles()
+    assert files and not [f for f in files if "events.parquet" in f]
+
+
 def test_models(spark, small_dir):
     from checks import spark_queries as sq
     from sealcheck.operators import anomaly, triage
