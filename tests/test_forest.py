@@ -89,3 +89,7 @@ def test_the_driver_gets_records_and_no_names(training):
     assert len(packed) == TREES
     assert sum(len(r["nodes"]) for r in packed) == 26 * model.nodes.count()
 
+
+def test_training_rows_are_chosen_before_they_are_scored(training, spark, small_dir):
+    whole = sq.training_of(sq.scored(spark, small_dir))
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, training.select(whole.columns).collect()), key=str)
