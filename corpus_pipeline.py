@@ -23,8 +23,9 @@ def _with_text(found: DataFrame, columns: list[str], text: Column) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules learned from the labels; rejected documents go."""
-    rules = quality_rules.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality_rules.keep_documents(docs, rules)
+    with common.tidy_shuffles(spark):      # batches of a thousand whole texts; the caller writes with the session's own settings
+        rules = quality_rules.fit(docs, common.table(spark, sf_dir, "labels"))
+        return common.stage(quality_rules.keep_documents(docs, rules), "good")
 
 
 def drop_seen_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Every stage on odd rows, and what line dedup leaves of copies."""
 
 import random
+import re
 
 from helpers import ODD_TEXTS, odd_documents
 
 import corpus_pipeline
-from sealcheck.llm import line_dedup
+from sealcheck.llm import line_dedup, quality_rules
 
 
 def test_every_stage_takes_odd_rows(spark, small_dir):
@@ -33,3 +34,12 @@ def test_remnants_of_copies_go(spark, small_dir):
     assert all(r["n_chars"] == len(r["text"]) for r in kept.values())
     whole = {r["row"]["doc_id"]: r["out"]["text"] for r in line_dedup.with_clean_text(docs).collect()}
     assert whole[2] == "" and whole[4] == "ten words left"        # the operator itself drops lines only
+
+
+def test_a_kept_text_crosses_to_python_once(spark):
+    docs = odd_documents(spark)
+    counted = quality_rules.with_counts(docs)
+    plan = counted._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"MapInArrow run\(row#\d+, text#\d+\).*\[row#\d+, text#\d+, out#\d+\]", plan), plan
+    assert counted.columns == ["row", "out"] and counted.select("row.*").columns == docs.columns
+    assert sorted(map(str, counted.select("row.*").collect())) == sorted(map(str, docs.collect()))
