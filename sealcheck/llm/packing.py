@@ -28,7 +28,8 @@ CAPACITY, END_ID = 4096, 1
 GROUP_PIECES, NODES, NODES_PER_SEQUENCE = 20_000, 4_000, 4
 #: Steps towards the next filling that count as one filling tried.
 STEPS = 1024
-CHUNK_BYTES = 2 << 20
+#: Units handed to the tokenizer at once; the library keeps far more than the ids of each.
+ENCODED_AT_ONCE = 8192
 
 
 @functools.lru_cache(maxsize=2)
@@ -37,9 +38,12 @@ def _memo(path: str) -> UnitMemo:
     tokenizer = Tokenizer.from_file(path)
 
     def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+        ids, sizes = [], []
+        for at in range(0, len(units), ENCODED_AT_ONCE):
+            found = [e.ids for e in tokenizer.encode_batch_fast([u.decode() for u in units[at:at + ENCODED_AT_ONCE]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for one in found for i in one), np.uint32, int(sizes[-1].sum())))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     return UnitMemo(encode, lower=True)
 
@@ -61,7 +65,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
             out.append([own[a:a + capacity].tobytes() for a in range(0, len(own), capacity)])
         return {"pieces": out}
 
-    found = common.map_texts(docs, text, [id_column], work, [T.StructField("pieces", T.ArrayType(T.BinaryType()))], CHUNK_BYTES)
+    found = common.map_texts(docs, text, [id_column], work, [T.StructField("pieces", T.ArrayType(T.BinaryType()))])
     rows = found.select(F.col(f"row.`{id_column}`").alias("doc_id"), F.posexplode("out.pieces").alias("piece", "ids"))
     return rows.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"),
                        (F.octet_length("ids") / 4).cast("long").alias("length"), "ids")
@@ -272,7 +276,8 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
 def packed_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """The pieces' digests and their places."""
     pieces = token_pieces(docs, tokenizer_path)
-    narrow = common.stage(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    with common.tidy_shuffles(docs.sparkSession):       # whole texts go to Python and their ids come back, a thousand documents at once
+        narrow = common.stage(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(narrow)
 
 

@@ -119,3 +119,32 @@ def test_packed_documents(spark):
     assert sorted(rows["ids_crc32"]) == sorted(zlib.crc32(bytes(p["ids"])) for p in pieces)
     valid(rows["length"].to_numpy(), rows["sequence_id"].to_numpy(), rows["offset"].to_numpy(), packing.CAPACITY)
     assert packing.packed_documents(empty_documents(spark), WORDS).count() == 0
+
+
+def test_packing_hands_bounded_batches_to_python_and_to_the_tokenizer(spark, monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    from sealcheck.llm import common, packing
+
+    seen, stage = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name: (seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), stage(df, name))[1])
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    assert packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 2
+    assert seen == ["1000"]
+
+    real, calls = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Counted:
+        from_file = staticmethod(lambda path: Counted())
+
+        def encode_batch_fast(self, units, **options):
+            calls.append(len(units))
+            return real.encode_batch_fast(units, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    units = [f"unit{i}".encode() for i in range(packing.ENCODED_AT_ONCE + 5)]
+    ids, sizes = packing._memo.__wrapped__(public_tokenizers.path("word_bpe_49k.json")).encode(units)
+    assert calls == [packing.ENCODED_AT_ONCE, 5]
+    whole = [e.ids for e in real.encode_batch([u.decode() for u in units], add_special_tokens=False)]
+    assert ids.tolist() == [i for one in whole for i in one] and sizes.tolist() == [len(one) for one in whole]
