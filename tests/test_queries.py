@@ -43,3 +43,16 @@ def test_models(spark, small_dir):
     forest = anomaly.fit_anomaly(rows, ["capture", "session_id"], trees=30)
     flagged = anomaly.score_anomaly(rows, forest).selectExpr("avg(CAST(ml_anomalous AS INT)) AS share", "min(ml_anomaly_score) AS low", "max(ml_anomaly_score) AS high").first()
     assert 0.02 <= flagged["share"] <= 0.1 and 0 <= flagged["low"] <= flagged["high"] <= 1
+
+
+def test_certificates_are_read_without_repeating_the_packets_expressions(spark, small_dir):
+    from checks import views
+    from sealcheck.operators import certificates
+
+    packets = views.typed_packets(spark, small_dir)
+    plan = certificates.sent_certificates(packets)._jdf.queryExecution().optimizedPlan().toString()
+    assert max([len(line) for line in plan.split("\n") if "Filter" in line], default=0) < 2000
+    odd = spark.createDataFrame([("c", s, n, t, v) for n, (s, t, v) in enumerate([
+        ("1", True, ["30" * 60, "31" * 60]), ("1", False, ["30" * 60]), ("1", None, ["30" * 60]), ("2", True, None), ("2", True, []), (None, True, ["3081" * 40])])],
+        "capture string, stream_id string, packet_no long, is_tls boolean, cert_values array<string>")
+    assert sorted((r["stream_id"], r["packet_no"], r["slot"]) for r in certificates.sent_certificates(odd).collect()) == [("1", 0, 0), ("unknown-5", 5, 0)]
