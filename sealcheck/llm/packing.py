@@ -12,7 +12,9 @@ Null and empty texts are the end id alone. Rows without an id, with the same id
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +37,8 @@ ENCODED_AT_ONCE = 8192
 @functools.lru_cache(maxsize=2)
 def _memo(path: str) -> UnitMemo:
     from tokenizers import Tokenizer
+    # a task has one core: the library's own threads would spend more on handing out short units than on encoding them
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tokenizer = Tokenizer.from_file(path)
 
     def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +46,7 @@ def _memo(path: str) -> UnitMemo:
         for at in range(0, len(units), ENCODED_AT_ONCE):
             found = [e.ids for e in tokenizer.encode_batch_fast([u.decode() for u in units[at:at + ENCODED_AT_ONCE]], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter((i for one in found for i in one), np.uint32, int(sizes[-1].sum())))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
         return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     return UnitMemo(encode, lower=True)

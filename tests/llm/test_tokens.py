@@ -1,6 +1,10 @@
 """Byte-level BPE against the public library, packing against its rules."""
 
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -148,3 +152,17 @@ def test_packing_hands_bounded_batches_to_python_and_to_the_tokenizer(spark, mon
     assert calls == [packing.ENCODED_AT_ONCE, 5]
     whole = [e.ids for e in real.encode_batch([u.decode() for u in units], add_special_tokens=False)]
     assert ids.tolist() == [i for one in whole for i in one] and sizes.tolist() == [len(one) for one in whole]
+
+
+def test_the_tokenizer_starts_no_threads_of_its_own():
+    program = """if True:
+        import os, sys
+        from sealcheck.llm import packing
+        memo = packing._memo(sys.argv[1])
+        before = len(os.listdir("/proc/self/task"))
+        memo.encode([f"unit{i}".encode() for i in range(2000)])
+        print(len(os.listdir("/proc/self/task")) - before)
+    """
+    plain = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    found = subprocess.run([sys.executable, "-c", program, WORDS], env=plain, cwd=Path(packing.__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert found.stdout.strip() == "0", found.stdout + found.stderr
