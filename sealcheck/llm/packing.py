@@ -32,6 +32,8 @@ GROUP_PIECES, NODES, NODES_PER_SEQUENCE = 20_000, 4_000, 4
 STEPS = 1024
 #: Units handed to the tokenizer at once; the library keeps far more than the ids of each.
 ENCODED_AT_ONCE = 8192
+#: Bytes of text scanned at once; the arrays made beside them take many times as much.
+CHUNK_BYTES = 1 << 18
 
 
 @functools.lru_cache(maxsize=2)
@@ -69,7 +71,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
             out.append([own[a:a + capacity].tobytes() for a in range(0, len(own), capacity)])
         return {"pieces": out}
 
-    found = common.map_texts(docs, text, [id_column], work, [T.StructField("pieces", T.ArrayType(T.BinaryType()))])
+    found = common.map_texts(docs, text, [id_column], work, [T.StructField("pieces", T.ArrayType(T.BinaryType()))],
+                             CHUNK_BYTES)
     rows = found.select(F.col(f"row.`{id_column}`").alias("doc_id"), F.posexplode("out.pieces").alias("piece", "ids"))
     return rows.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"),
                        (F.octet_length("ids") / 4).cast("long").alias("length"), "ids")

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers import ODD_TEXTS, empty_documents, odd_documents
@@ -15,7 +16,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sealcheck.llm import bytebpe, packing
+from sealcheck.llm import bytebpe, packing, textscan
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["  a  b\n\nc  ", "foo\xa0  bar　x", " \n ", "it's we'll 123 4567!!  ...", "\x1c a\x1cb", "x" * 700 + " " + "zq" * 300, "漢字 🙂🙂 é, è.",
@@ -166,3 +167,17 @@ def test_the_tokenizer_starts_no_threads_of_its_own():
     plain = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
     found = subprocess.run([sys.executable, "-c", program, WORDS], env=plain, cwd=Path(packing.__file__).parents[2], capture_output=True, text=True, timeout=120)
     assert found.stdout.strip() == "0", found.stdout + found.stderr
+
+
+def test_many_texts_are_scanned_a_little_at_a_time(spark, monkeypatch):
+    from sealcheck.llm import common
+
+    scan = textscan.Scan
+    real, works, scanned = common.map_texts, [], []
+    monkeypatch.setattr(common, "map_texts", lambda docs, text, keep, work, fields, *chunk: (works.append((work, chunk)), real(docs, text, keep, work, fields, *chunk))[1])
+    packing.token_pieces(odd_documents(spark), WORDS)
+    monkeypatch.setattr(packing.textscan, "Scan", lambda texts, **options: (scanned.append(sum(map(len, texts))), scan(texts, **options))[1])
+    texts = pa.array(["some words of a text " * 500] * 100)
+    (work, chunk), = works
+    found = [p for _, part in textscan.chunked(texts, *chunk) for p in work(part)["pieces"]]
+    assert max(scanned) <= 1 << 18 and sum(scanned) == 100 * 500 * 21 and found == [found[0]] * 100
